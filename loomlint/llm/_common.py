@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlint.session import ship_package
+
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/loomlint"
 #: A table of at most so many slim rows (16 to 64 bytes each) may be broadcast; a larger one is joined by a shuffle.
@@ -27,6 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        ship_package(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
         self.root = f"{root.rstrip('/')}/loomlint/{what}-{uuid.uuid4().hex}"
 

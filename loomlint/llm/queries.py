@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import op6_mixing
+from .packing import op9_best_fit_packing
 from .sharding import op7_ring_shards
 
-QUERIES = {"op7_ring_shards": op7_ring_shards}
+QUERIES = {"op6_mixing": op6_mixing, "op7_ring_shards": op7_ring_shards, "op9_best_fit_packing": op9_best_fit_packing}
 ORACLES: dict[str, str] = {}
