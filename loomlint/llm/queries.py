@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op6_mixing
 from .packing import op9_best_fit_packing
 from .sharding import op7_ring_shards
+from .simhash import op10_simhash
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_ring_shards": op7_ring_shards, "op9_best_fit_packing": op9_best_fit_packing}
+QUERIES = {"op6_mixing": op6_mixing, "op7_ring_shards": op7_ring_shards, "op9_best_fit_packing": op9_best_fit_packing, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
