@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from .mixing import op6_mixing
 from .packing import op9_best_fit_packing
+from .quality import op8_quality
 from .sharding import op7_ring_shards
 from .simhash import op10_simhash
+from .substrings import op2_substring_dedup
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_ring_shards": op7_ring_shards, "op9_best_fit_packing": op9_best_fit_packing, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_ring_shards": op7_ring_shards,
+    "op8_quality": op8_quality,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_simhash": op10_simhash,
+}
 ORACLES: dict[str, str] = {}
