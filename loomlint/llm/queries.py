@@ -8,8 +8,10 @@ from .quality import op8_quality
 from .sharding import op7_ring_shards
 from .simhash import op10_simhash
 from .substrings import op2_substring_dedup
+from .vectors import OP1_SQL, op1_embedding_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_ring_shards": op7_ring_shards,
@@ -17,4 +19,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL}
