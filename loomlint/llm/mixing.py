@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch, literal_table, running_offsets
+from ._common import WORD, Scratch, literal_table, partitions, running_offsets
 
 
 class Source(NamedTuple):
@@ -153,11 +153,14 @@ def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max
     drawn = drawn.join(F.broadcast(table.select("source_id", "blocks")) if len(names) <= 10_000 else table.select("source_id", "blocks"), "source_id")
     # long runs are cut before they are spread, so that no task enumerates a source alone
     run = 50_000
-    runs = drawn.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / run))).alias("_run")).repartition("shard", "source_id", "_run")
+    runs = drawn.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / run))).alias("_run"))
+    wide = max(partitions(spark), sum(s.slots for s in sources) // 1_000_000 + 1)
+    runs = runs.repartition(wide, "shard", "source_id", "_run")
     slots = runs.select("shard", "source_id", "blocks", F.explode(F.sequence(F.col("first") + F.col("_run") * run, F.col("first") + F.least(F.col("n"), (F.col("_run") + 1) * run) - 1)).alias("slot"))
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")))
     index = F.col("slot") - F.col("turn") * F.col("blocks")
     slots = slots.select("shard", "source_id", "slot", "turn", block_permutation(seed)(index, F.col("blocks"), F.col("source_id"), F.col("turn")).alias("block"))
+    slots = scratch.keep(slots, "slots")  # written: the planner takes an exploded literal for a tiny table, and would broadcast it
     return Mixture(sources, placed.unionByName(none), slots, pieces)
 
 
