@@ -8,15 +8,17 @@ from .quality import op8_quality
 from .sharding import op7_ring_shards
 from .simhash import op10_simhash
 from .substrings import op2_substring_dedup
+from .topk import OP5_SQL, op5_topk
 from .vectors import OP1_SQL, op1_embedding_dedup
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_ring_shards": op7_ring_shards,
     "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op5_topk": OP5_SQL}
