@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_model import op4_lm_scores
 from .mixing import op6_mixing
 from .packing import op9_best_fit_packing
 from .quality import op8_quality
@@ -14,6 +15,7 @@ from .vectors import OP1_SQL, op1_embedding_dedup
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_lm_scores": op4_lm_scores,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_ring_shards": op7_ring_shards,
