@@ -181,6 +181,33 @@ def mixed_blocks(docs: DataFrame, mixture: Mixture) -> DataFrame:
     return mixture.slots.join(parts, ["source_id", "block"])
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mixture as documents: a row for each document and pass over its source that takes words of it.
+
+    A pass that takes all words keeps the text as it is; else the words taken stand in their order, joined by spaces.
+    Columns are those of ``docs`` (n_chars is set anew); doc_id is unique there, or rows with one doc_id and as many
+    words share each other's passes.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    mixture = mix(docs, scratch, **options)
+    if mixture is None:
+        return docs.limit(0)
+    parts = mixture.slots.select("source_id", "block", "turn").join(mixture.pieces, ["source_id", "block"])
+    part = F.struct("from_word", "words")
+    taken = parts.groupBy("source_id", "start", "doc_id", "turn").agg(F.sum("words").alias("_n"), F.array_sort(F.collect_list(part)).alias("_parts"))  # of one document
+    sizes = mixture.docs.where("size > 0").select("source_id", "start", "size")
+    taken = taken.join(sizes, ["source_id", "start"]).select("doc_id", "_n", "_parts", F.col("size").alias("_size"))
+    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    both = docs.withColumn("_size", count).join(taken, ["doc_id", "_size"])
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    cut = both.withColumn("_words", F.when(F.col("_n") < F.col("_size"), words))
+    some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    out = cut.withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, sources weighing 1, 2, 3 in turn, at most 3 times their words; 64 output shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")

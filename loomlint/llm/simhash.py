@@ -176,6 +176,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's smallest, once for each doc_id.
+
+    Rows without doc_id cannot be told apart by it and stay.
+    """
+    found = near_duplicates(docs, shingle)
+    scratch = Scratch(docs.sparkSession, "kept")
+    # a doc_id that stands for different texts may have several components: it stays if any of them is its own
+    kept = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -141,7 +141,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text, starts, sizes):
-        return text.combine(list(zip(starts, sizes, strict=True)), lambda t, s: without(t.encode(), list(zip(*s, strict=True))).decode()) if len(text) else text
+        import pandas as pd
+
+        rows = zip(text, starts, sizes, strict=True)
+        return pd.Series([t if t is None or a is None else without(t.encode(), list(zip(a.tolist(), n.tolist(), strict=True))).decode() for t, a, n in rows], dtype=object)
 
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))  # of one document
     joined = docs.join(lists, "doc_id", "left")
