@@ -85,7 +85,7 @@ _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "s": " ", "0": "\0", "a": "\a", "b"
 _IDENT = re.compile(r"[^\W\dA-Z]\w*[?!]?", re.UNICODE)
 _ALIAS = re.compile(r"[A-Z]\w*")
 _NUMBER = re.compile(r"0x[0-9a-fA-F_]+|0o[0-7_]+|0b[01_]+|\d[\d_]*\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*")
-_ATOM = re.compile(r":(?:[^\W\d]\w*(?:@\w+)*[?!]?|<<>>|%\{\}|\{\}|\.\.\.|&&&|\|\|\||===|!==|<<<|>>>|\|>|<>|\+\+|--|==|!=|<=|>=|&&|\|\||\.\.|=~|->|<-|::|[+\-*/=<>|&@^!.%])", re.UNICODE)
+_ATOM = re.compile(r":(?:[^\W\d]\w*(?:@\w+)*[?!]?|<<>>|%\{\}|\{\}|\.\.//|\.\.\.|&&&|\|\|\||===|!==|<<<|>>>|\|>|<>|\+\+|--|==|!=|<=|>=|&&|\|\||\.\.|=~|->|<-|::|[+\-*/=<>|&@^!.%])", re.UNICODE)
 _CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
@@ -451,6 +451,11 @@ class Parser:
             if t.value == "&" and self.now.kind == "int" and not self.now.spaced:
                 arg = self.primary()
                 return self.postfix(self.node("call", t, name="&", args=[arg]))
+            if t.value == "&" and self.now.kind in ("op", "word") and self.now.value in BINARY and self.ahead().kind == "op" and self.ahead().value == "/":
+                name, slash = self.next(), self.next()
+                arity = self.primary()
+                named = Node("var", name.line, name.col, name.start, name.end, name=name.value)
+                return self.node("call", t, name="&", args=[self.node("call", name, name=slash.value, args=[named, arity], flags="op")])
             if t.value == "@":
                 return self.postfix(self.attribute(t))
             arg = self.expr(UNARY[t.value])
@@ -551,6 +556,7 @@ class Parser:
     def bare_args(self) -> list[Node]:
         args = []
         keys: list[Node] = []
+        self.no_do += 1  # a `do` after the arguments belongs to the call without parentheses
         while True:
             if self.now.kind == "key":
                 keys.append(self.pair())
@@ -563,6 +569,7 @@ class Parser:
                 self.skip_eol()
                 continue
             break
+        self.no_do -= 1
         if keys:
             args.append(self.keywords(keys))
         return args
