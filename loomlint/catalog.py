@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomlint.functions import vocabulary
 from loomlint.operators import analysis, fix, matcher, semantic, syntax
 from loomlint.plans import fixtures, patterns, relational
+from loomlint.session import ship_package
 from loomlint.sources.corpus import diff, fixture_corpus, lines, read_table
 
 
@@ -96,7 +97,7 @@ _DISPATCH_SQL = (
     "WITH "
     + _rows_sql("d", "source_id, ord, severity, message, line, col", DIAGNOSTICS)
     + r""", judged AS (SELECT d.* FROM d JOIN (SELECT source_id, bool_or(severity = 'error') AS failed FROM d GROUP BY source_id) USING (source_id)
-WHERE severity = CASE WHEN failed THEN 'error' ELSE 'warning' END), named AS (SELECT source_id, ord, line, CASE
+WHERE severity = CASE WHEN failed THEN 'error' ELSE 'warning' END), named AS (SELECT CAST(source_id AS BIGINT) AS source_id, ord, line, CASE
 WHEN severity = 'error' AND (message LIKE '%undefined function test/%' OR message LIKE '%undefined function describe/%' OR message LIKE '%undefined function setup/%') THEN 'missing_use_exunit_case'
 WHEN severity = 'warning' AND message LIKE '%outdented heredoc line%' THEN 'outdented_heredoc'
 WHEN severity = 'warning' AND regexp_matches(message, '(\w+)\.(\w+)/(\d+) is (undefined or private|deprecated)') OR severity = 'error' AND regexp_matches(message, 'undefined function (\w+)/(\d+)') THEN 'undefined_function'
@@ -108,6 +109,7 @@ SELECT source_id, ord, rule, line FROM named WHERE rule IS NOT NULL"""
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
     pairs = spark.createDataFrame(PAIRS, "name string, candidate string")
     return pairs.withColumn("score", matcher.score(F.col("name"), F.col("candidate")))
 

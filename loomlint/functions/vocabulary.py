@@ -90,7 +90,7 @@ def _(spark, sf):
     return table(spark, sf, "events").withColumn("p", F.lag("event_type").over(w)).where(~F.col("event_type").eqNullSafe(F.col("p"))).select("user_id", "event_id", "event_type")
 
 
-@query("extremes", "SELECT max(l_quantity) AS most, min(l_quantity) AS least, sum(l_linenumber) AS total FROM lineitem")
+@query("extremes", "SELECT max(l_quantity) AS most, min(l_quantity) AS least, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
 def _(spark, sf):
     return table(spark, sf, "lineitem").agg(F.max("l_quantity").alias("most"), F.min("l_quantity").alias("least"), F.sum("l_linenumber").alias("total"))
 

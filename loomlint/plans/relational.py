@@ -111,7 +111,7 @@ def _literal(v) -> str:
     return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-_WITH = "WITH node(source_id, id, parent, ord, kind, name, mod, arity, line, pipe_id, pipe_step) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in VALUES) + ")"
+_WITH = "WITH raw(source_id, id, parent, ord, kind, name, mod, arity, line, pipe_id, pipe_step) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in VALUES) + "), node AS (SELECT CAST(source_id AS BIGINT) AS source_id, * EXCLUDE (source_id) FROM raw)"
 _SUBJECT = """, subject AS (SELECT c.source_id, v.name AS var, c.name, c.line, c.id, c.mod, c.arity FROM node c JOIN node v
 ON v.source_id = c.source_id AND v.parent = c.id AND v.kind = 'var' AND v.ord = 1 WHERE c.kind = 'remote')"""
 
