@@ -432,6 +432,8 @@ class Parser:
             self.skip_eol()
             if op == "when" and self.now.kind == "key":
                 right = self.bare_args()[0]
+            elif op == "|" and self.now.kind == "key":  # %{map | key: value}
+                right = self.pair()
             else:
                 right = self.expr(prec if right_assoc else prec + 1)
             if op == "not in":
