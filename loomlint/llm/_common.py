@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -35,22 +34,20 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        self._free_shuffles()
-        return out
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")  # nothing reads the shuffle files of a finished write
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(key, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    def _free_shuffles(self) -> None:
-        """Spark deletes the shuffle files of plans that the driver's JVM has collected; ask it to."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
