@@ -184,11 +184,14 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     found = near_duplicates(docs, shingle)
     scratch = Scratch(docs.sparkSession, "kept")
     # a doc_id that stands for different texts may have several components: it stays if any of them is its own
-    kept = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"), F.count(F.lit(1)).alias("n"))
+    by_id = scratch.keep(by_id.where("not own or n > 1"), "told")
+    # the ids that go are fewer than those that stay
+    out = docs.join(by_id.where("not own").select("doc_id"), "doc_id", "left_anti")
+    if by_id.where("own").limit(1).count():
+        rest = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+        out = rest.unionByName(out.where("doc_id is null"))
+    return out
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
