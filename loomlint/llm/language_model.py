@@ -32,7 +32,7 @@ from ._common import Scratch, partitions
 
 #: Weight of the shorter context, for n-grams of two tokens, three and so on; the query's order is their number plus 1.
 BACKOFF = (500.0,)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 10 << 20  # of text for each block, and for each bucket
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 
@@ -163,9 +163,10 @@ def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float]
     order = len(backoff) + 1
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
-    width = max(partitions(spark), -(-total // block_bytes))
+    blocks = max(partitions(spark), -(-total // block_bytes))
+    buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
     dealt = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), training.alias("training"), F.pmod(F.xxhash64("doc_id", size, F.substring("text", 1, 64)), F.lit(width)).alias("block")
+        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), training.alias("training"), F.pmod(F.xxhash64("doc_id", size, F.substring("text", 1, 64)), F.lit(blocks)).alias("block")
     )
     asked = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     told = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int64()), ("places", pa.binary()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64()))])
@@ -178,7 +179,7 @@ def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float]
         block, name = read(table), table.column("block")[0].as_py()
         rows = []
         for n in range(order):
-            cuts = block.cuts(n, width)
+            cuts = block.cuts(n, buckets)
             for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                 s = slice(int(cuts[bucket]), int(cuts[bucket + 1]))
                 rows.append((name, n, bucket, packed(block.hashes[n][s]), small(block.own[n][s])))
@@ -213,7 +214,7 @@ def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float]
             return scores.empty_table()
         block = read(texts)
         totals = [own.copy() for own in block.own]
-        cuts = [block.cuts(n, width) for n in range(order)]
+        cuts = [block.cuts(n, buckets) for n in range(order)]
         for n, bucket, places, values in zip(*(replies.column(c).to_pylist() for c in ("n", "bucket", "places", "totals")), strict=True):
             totals[n][cuts[n][bucket] + np.cumsum(large(places))] = large(values)
         model, base, known = walk(block, totals, stats, backoff)
