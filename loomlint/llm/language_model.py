@@ -20,6 +20,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +33,7 @@ from ._common import Scratch, partitions
 
 #: Weight of the shorter context, for n-grams of two tokens, three and so on; the query's order is their number plus 1.
 BACKOFF = (500.0,)
-BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 10 << 20  # of text for each block, and for each bucket
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20  # of text for each block, and for each bucket
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 
@@ -80,20 +81,19 @@ def ngrams(token: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.nd
 
 
 def packed(sorted_hashes: np.ndarray) -> bytes:
-    """Ascending hashes as differences of as few bytes as the largest needs; the first byte is that width."""
-    delta = np.diff(sorted_hashes, prepend=np.uint64(0))
-    rest = delta[1:]
-    width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
-    return bytes([width]) + sorted_hashes[:1].tobytes() + rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending hashes: the first, then the differences as five low bytes each and their high parts compressed."""
+    rest = np.diff(sorted_hashes).astype("<u8")
+    high = zlib.compress((rest >> np.uint64(40)).astype("<u4").tobytes(), 1)
+    low = rest.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return sorted_hashes[:1].astype("<u8").tobytes() + len(rest).to_bytes(4, "little") + low + high
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    first = np.frombuffer(data, "<u8", 1, 1)
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(rest), 8), np.uint8)
-    wide[:, :width] = rest
-    return np.cumsum(np.concatenate([first, wide.view("<u8").ravel()]), dtype=np.uint64)
+    n = int.from_bytes(data[8:12], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8, 5 * n, 12).reshape(n, 5)
+    high = np.frombuffer(zlib.decompress(data[12 + 5 * n :]), "<u4").astype(np.uint64) << np.uint64(40)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1), wide.view("<u8").ravel() | high]), dtype=np.uint64)
 
 
 def small(counts: np.ndarray) -> bytes:
