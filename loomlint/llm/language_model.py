@@ -70,10 +70,9 @@ def ngrams(token: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.nd
         shorter = out[-1][0]
         previous = np.empty_like(token)
         previous[1:] = shorter[:-1]
+        previous[first] = END  # only pairs reach before a text's first token; the rest is a fixed value out of use
         if n == 2:
             previous = before
-        elif n == 3:
-            previous[first] = END  # unused: place 0 has no three tokens
         mixed = (previous * _MULTIPLY) ^ (previous >> np.uint64(29)) ^ np.uint64(n)
         mixed = (mixed + token) * np.uint64(0xBF58476D1CE4E5B9)
         out.append((mixed ^ mixed >> np.uint64(32), place + 2 >= n))

@@ -155,7 +155,8 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
             break
         # an upper node that is too large is refined: its 6 sub-nodes fix two of four blocks of the bits that are free
         crowded = at.join(large, ["mask", "key"], "left_semi").select("fp", "mask")
-        parents = [m for fixed in ([0] if level == 0 else _masks(0, 16)) for m in _masks(fixed, 16 if level == 0 else 8)]
+        # masks of different parents can coincide
+        parents = dict.fromkeys(m for fixed in ([0] if level == 0 else _masks(0, 16)) for m in _masks(fixed, 16 if level == 0 else 8))
         deeper = F.create_map(*[x for p in parents for x in (F.lit(_signed(p)), F.array(*[F.lit(_signed(c)) for c in _masks(p, width)]))])
         at = crowded.select("fp", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         at = scratch.keep(at.distinct(), f"nodes-{level + 1}")

@@ -132,6 +132,8 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
             hi -= 1
         if lo < hi:
             out.append(text[at:lo])
+            if 0 < lo and hi < len(text) and not (_SPACE[text[lo - 1]] or _SPACE[text[hi]]):
+                out.append(b" ")  # words on both sides stay apart
             at = hi
     return b"".join([*out, text[at:]])
 

@@ -75,10 +75,9 @@ def usable(vector: str) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def compare(u: np.ndarray, codes: np.ndarray, bucket: int, block: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of unit rows at ``cosine`` or more whose least common bucket is this one; of different blocks only,
-    if there are two."""
-    two = block.min() != block.max()
+def compare(u: np.ndarray, codes: np.ndarray, bucket: int, block: np.ndarray, two: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of unit rows at ``cosine`` or more whose least common bucket is this one; only those of different
+    blocks, if the group is of two."""
     found = []
     for s in range(0, len(u), 512):
         i, j = np.nonzero(u[s : s + 512] @ u.T >= cosine)
@@ -144,7 +143,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLE
                 cls, n = part.column("cls").to_numpy(), part.column("n").to_numpy()
                 v = np.array([np.frombuffer(x, kind) for x in part.column("vec").to_pylist()], np.float64)
                 codes = np.array(part.column("codes").to_pylist(), np.int64)
-                i, j = compare(v / np.linalg.norm(v, axis=1, keepdims=True), codes, int(key[0, s]), part.column("block").to_numpy(), cosine)
+                i, j = compare(v / np.linalg.norm(v, axis=1, keepdims=True), codes, int(key[0, s]), part.column("block").to_numpy(), key[1, s] != key[2, s], cosine)
                 if not len(i):
                     continue
                 add = np.bincount(i, n[j], len(cls)) + np.bincount(j, n[i], len(cls))
