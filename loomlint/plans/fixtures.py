@@ -52,7 +52,7 @@ CASES: dict[str, tuple[list[tuple[str, int]], list[str]]] = {
     "NoLengthBasedIndexing": ([("n = length(xs)\nEnum.at(xs, n - 1)", 1)], ["n = length(xs)\nxs = f(xs)\nEnum.at(xs, n - 1)", "n = length(xs)\nEnum.at(ys, n - 1)"]),
     "NoListToTupleForAccess": ([("t = List.to_tuple(xs)\n{elem(t, 0), elem(t, 1)}", 1)], ["t = {1, 2}\nelem(t, 0)"]),
     "NoListAppendInLoop": ([("Enum.reduce(xs, [0], fn x, acc -> f(acc ++ [x]) end)", 1), ("for x <- xs do\n  ys ++ [x]\nend", 1)], ["Enum.reduce(xs, [], fn x, acc -> acc ++ [x] end)", "xs ++ ys"]),
-    "NoListAppendInRecursion": ([("def go([h | t], acc), do: go(t, acc ++ [h])", 1)], ["def go([h | t], acc), do: go(t, [h | acc])"]),
+    "NoListAppendInRecursion": ([("def go([], acc), do: acc\ndef go([h | t], acc), do: go(t, acc ++ [h])", 1)], ["def go([h | t], acc), do: go(t, [h | acc])"]),
     "NoListAppendInReduce": ([("Enum.reduce(xs, [], fn x, acc -> acc ++ [f(x)] end)", 1), ("xs |> Enum.reduce([], fn x, acc -> acc ++ [x] end)", 1)], ["Enum.reduce(xs, [], fn x, acc -> [x | acc] end)"]),
     "NoListFold": ([("List.foldl(xs, 0, fn x, acc -> x + acc end)", 1), ("List.foldr(xs, [], fn x, acc -> [x | acc] end)", 1)], ["Enum.reduce(xs, 0, f)"]),
     "PreferEnumReverseTwo": ([("Enum.reverse(a) ++ b", 1)], ["Enum.reverse(a, b)", "b ++ Enum.reverse(a)"]),

@@ -861,3 +861,215 @@ def apply(code: str, edits: Iterator[Edit]) -> str:
     for start, end, text in sorted(chosen, key=lambda e: (e[0], e[1]), reverse=True):
         code = code[:start] + text + code[end:]
     return code
+
+
+# -- rewrites of several statements
+
+
+def _line_span(t: Tree, s: Node) -> tuple[int, int]:
+    """A statement with the rest of its lines, if it is alone on them."""
+    start = t.code.rfind("\n", 0, s.start) + 1
+    stop = t.code.find("\n", s.end)
+    stop = len(t.code) if stop < 0 else stop + 1
+    alone = not t.code[start : s.start].strip() and not t.code[s.end : stop].strip()
+    return (start, stop) if alone else (s.start, s.end)
+
+
+@rewrite("NoDoubleSortSameList")
+def _(t):
+    def sort_of(n: Node) -> tuple[str, str] | None:
+        right = n.args[1]
+        if remote(right, "Enum", "sort", 1, 2):
+            source, given = var(right.args[0]), right.args[1:]
+        elif pipe(right) and remote(right.args[1], "Enum", "sort", 0, 1):
+            source, given = var(right.args[0]), right.args[1].args
+        else:
+            return None
+        ok = source and (not given or atom(given[0], "asc", "desc"))
+        return (source, given[0].value if given else "asc") if ok else None
+
+    first: dict[str, str] = {}
+    for n in t.calls("=", 2):
+        if var(n.args[0]) and (got := sort_of(n)):
+            if got[1] == "asc":
+                first.setdefault(got[0], n.args[0].name)
+            elif got[0] in first:
+                yield whole(n.args[1], f"Enum.reverse({first[got[0]]})")
+
+
+@rewrite("NoRedundantListTraversal")
+def _(t):
+    merged = {
+        frozenset(("min", "max")): ("{{{min}, {max}}} = Enum.min_max({xs})"),
+        frozenset(("count", "sum")): ("{{{count}, {sum}}} = Enum.reduce({xs}, {{0, 0}}, fn x, {{count, sum}} -> {{count + 1, sum + x}} end)"),
+    }
+    for block in t.blocks:
+        bare = [(i, s, got) for i, s in enumerate(block) if local(s, "=", 2) and var(s.args[0]) and (got := p._traversal(s.args[1]))]
+        for k, (i, s, (xs, kind)) in enumerate(bare):
+            for j, other, (ys, kind2) in bare[k + 1 :]:
+                form = merged.get(frozenset((kind, kind2)))
+                same_list = [b for b in bare if b[2][0] == xs]
+                if xs == ys and form and len(same_list) == 2 and not any(p._binds(x, xs) for x in block[i + 1 : j + 1]):
+                    names = {kind: s.args[0].name, kind2: other.args[0].name}
+                    yield whole(s, form.format(xs=xs, **names))
+                    yield (*_line_span(t, other), "")
+
+
+@rewrite("NoMultipleEnumAt")
+def _(t):
+    for block in t.blocks:
+        groups: dict[str, list[tuple[int, str, Node]]] = {}
+        held = [s for s in block if local(s, "=", 2) and var(s.args[0]) and remote(s.args[1], "Enum", "at", 2) and var(s.args[1].args[0]) and s.args[1].args[1].kind == "int"]
+        if not held or [id(s) for s in block[block.index(held[0]) : block.index(held[0]) + len(held)]] != [id(s) for s in held]:
+            continue
+        for s in held:
+            groups.setdefault(s.args[1].args[0].name, []).append((s.args[1].args[1].value, s.args[0].name, s))
+        for xs, found in groups.items():
+            places = {k: name for k, name, _ in found}
+            span = max(places) + 1
+            if len(found) >= 3 and len(places) == len(found) and span <= 2 * len(found):
+                yield whole(found[0][2], f"[{', '.join(places.get(k, '_') for k in range(span))} | _] = {xs}")
+                for _k, _name, s in found[1:]:
+                    yield (*_line_span(t, s), "")
+
+
+@rewrite("NoEnumAtMidpointAccess")
+def _(t):
+    for f in t.functions:
+        if f.body is None or f.recursive or f.body.kind != "block":
+            continue
+        mids, found = set(), []
+        for n in f.body.walk():
+            if local(n, "=", 2) and var(n.args[0]) and p._midpoint(n.args[1]):
+                mids.add(n.args[0].name)
+            elif remote(n, "Enum", "at", 2) and var(n.args[0]) and (var(n.args[1]) in mids or p._midpoint(n.args[1])):
+                found.append(n)
+        bound = {x for s in f.body.walk() if local(s, "=", 2) for x in names_in(s.args[0])}
+        top = f.body.args[0]
+        pad = " " * (top.start - t.code.rfind("\n", 0, top.start) - 1)
+        for xs in dict.fromkeys(n.args[0].name for n in found):
+            if xs not in bound:
+                yield top.start, top.start, f"{xs}_tuple = List.to_tuple({xs})\n{pad}"
+        for n in found:
+            if n.args[0].name not in bound:
+                yield whole(n, f"elem({n.args[0].name}_tuple, {t.text(n.args[1])})")
+
+
+@rewrite("NoGraphemePalindromeCheck")
+def _(t):
+    split = {}
+    for n in t.calls("=", 2):
+        right = n.args[1]
+        if var(n.args[0]) and remote(last_step(right), "String", ("graphemes", "to_charlist")):
+            made = last_step(right)
+            if pipe(right):
+                split[n.args[0].name] = (n, t.text(right.args[0]))
+            elif len(made.args) == 1:
+                split[n.args[0].name] = (n, t.text(made.args[0]))
+    uses = {name: sum(v.kind == "var" and v.name == name for v in t.nodes) for name in split}
+    for n in t.calls("==", 2):
+        for a, b in (n.args, n.args[::-1]):
+            name = var(a)
+            # the variable holds the string afterwards, so it must serve nothing else
+            if name in split and uses[name] == 3 and remote(b, "Enum", "reverse", 1) and same_var(a, b.args[0]):
+                yield whole(split[name][0].args[1], split[name][1])
+                yield rename(b, "String.reverse")
+
+
+@rewrite("NoListAppendInRecursion")
+def _(t):
+    for group in t.clauses.values():
+        adding = [(f, a) for f in group if f.recursive and (a := p._appending_recursion(f)) is not None]
+        if not adding:
+            continue
+        place = next((i for f, a in adding for i, q in enumerate(f.params) if same_var(q, a.args[0])), None)
+        base = [f for f in group if not f.recursive and place is not None and f.body is not None and var(f.params[place]) and same_var(statements(f.body)[-1], f.params[place])]
+        if base and all(same_var(f.params[place], a.args[0]) for f, a in adding):
+            for _f, a in adding:
+                yield whole(a, f"[{t.text(a.args[1].args[0])} | {t.text(a.args[0])}]")
+            for f in base:
+                yield whole(statements(f.body)[-1], f"Enum.reverse({f.params[place].name})")
+
+
+@rewrite("NoManualListLast")
+def _(t):
+    names = {name for _, name in p_check("NoManualListLast")(t)}
+    for (name, arity), group in t.clauses.items():
+        if name in names and arity == 1 and len(group) == 2:
+            yield whole(group[0].node, f"{group[0].kind} {name}(list), do: List.last(list)")
+            yield (*_line_span(t, group[1].node), "")
+
+
+@rewrite("NoMapUpdateThenFetch")
+def _(t):
+    for block in t.blocks:
+        for a, b in pairs_next(block):
+            if not (local(a, "=", 2) and var(a.args[0]) and remote(a.args[1], "Map", ("update", "update!")) and var(a.args[1].args[0])):
+                continue
+            read = b.args[1] if local(b, "=", 2) else b
+            m, key = a.args[0].name, a.args[1].args[1]
+            if remote(read, "Map", ("fetch!", "get"), 2) and var(read.args[0]) == m and p.same(read.args[1], key):
+                source, k, f = a.args[1].args[0].name, t.text(key), a.args[1].args[-1]
+                start = t.code.rfind("\n", 0, a.start) + 1
+                pad = " " * (a.start - start)
+                if a.args[1].name == "update":
+                    value = f"case Map.fetch({source}, {k}) do\n{pad}    {{:ok, old}} -> {call_of(t, f, 'old')}\n{pad}    :error -> {t.text(a.args[1].args[2])}\n{pad}  end"
+                else:
+                    value = call_of(t, f, f"Map.fetch!({source}, {k})")
+                out = t.code[b.start : read.start] + "value" + t.code[read.end : b.end]
+                yield a.start, b.end, f"value =\n{pad}  {value}\n\n{pad}{m} = Map.put({source}, {k}, value)\n{pad}{out}"
+
+
+@rewrite("NoNestedEnumOnSameEnumerable")
+def _(t):
+    for n in t.remotes("Enum", ("map", "filter", "reject", "any?", "all?", "find", "count"), 2):
+        xs = var(n.args[0])
+        inner = [x for x in n.args[1].walk() if remote(x, "Enum", "member?", 2) and var(x.args[0]) == xs] if xs else []
+        if inner:
+            statement = n.start - (n.start - t.code.rfind("\n", 0, n.start) - 1)
+            pad = t.code[statement : n.start]
+            indent = pad[: len(pad) - len(pad.lstrip())]
+            if pad.strip() == "" or local(_owner(t, n), "="):
+                yield statement, statement, f"{indent}{xs}_set = MapSet.new({xs})\n"
+                for x in inner:
+                    yield whole(x, f"MapSet.member?({xs}_set, {t.text(x.args[1])})")
+
+
+def _owner(t: Tree, n: Node) -> Node | None:
+    """The node that has another as its last part."""
+    return next((x for x in t.nodes if any(c is n for c in x.args)), None)
+
+
+@rewrite("InconsistentParamNames")
+def _(t):
+    for group in t.clauses.values():
+        if len(group) < 2:
+            continue
+        for i in range(len(group[0].params)):
+            bases = [(var(f.params[i]) or "").lstrip("_") for f in group]
+            if not all(bases) or len(set(bases)) < 2:
+                continue
+            for f, base in zip(group[1:], bases[1:], strict=True):
+                if base != bases[0] and bases[0] not in {x.lstrip("_") for x in names_in(f.node)}:
+                    for x in f.node.walk():
+                        if x.kind == "var" and x.name == f.params[i].name:
+                            yield x.start, x.start + len(x.name), "_" * x.name.startswith("_") + bases[0]
+
+
+@rewrite("NoParamRebinding")
+def _(t):
+    for n in t.nodes:
+        if n.kind != "fn":
+            continue
+        for c in n.args:
+            params = {x for q in c.args for x in names_in(q) if not x.startswith("_")}
+            body = statements(c.body)
+            for i, s in enumerate(body):
+                name = var(s.args[0]) if local(s, "=", 2) else None
+                if name in params and f"new_{name}" not in names_in(c.body):
+                    yield s.args[0].start, s.args[0].end, f"new_{name}"
+                    for later in body[i + 1 :]:
+                        for x in later.walk():
+                            if x.kind == "var" and x.name == name:
+                                yield x.start, x.start + len(name), f"new_{name}"
+                    break
