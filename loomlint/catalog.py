@@ -127,7 +127,7 @@ WHEN candidate <> name AND (contains(candidate, name) OR contains(name, candidat
 def _pattern(module: str, spark: SparkSession, sf: str) -> DataFrame:
     """An idiom rule over its fixture sources."""
     source = spark.createDataFrame(fixtures.sources(module), "source_id long, path string, code string")
-    return analysis.analyze(source, rules=[module]).select("source_id", "rule", F.col("line").cast("long").alias("line"))
+    return analysis.analyze(source, rules=[module], derive=False).select("source_id", "rule", F.col("line").cast("long").alias("line"))
 
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,38 +16,41 @@ from pyspark.sql import functions as F
 from loomlint.functions.elixir import ParseError
 from loomlint.functions.tree import Tree
 from loomlint.operators import semantic, syntax
+from loomlint.operators.diagnose import diagnose, taken
 from loomlint.plans import patterns
 from loomlint.session import ship_package
 
-PARSED = "source_id long, path string, code string, parses boolean, issues array<struct<rule:string,module:string,message:string,line:int,rule_ord:int,issue_ord:int>>"
-_ISSUES = pa.list_(pa.struct([("rule", pa.string()), ("module", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("rule_ord", pa.int32()), ("issue_ord", pa.int32())]))
+PARSED = "source_id long, path string, code string, parses boolean, issues array<struct<phase:string,rule:string,module:string,message:string,line:int,rule_ord:int,issue_ord:int>>"
+_ISSUES = pa.list_(pa.struct([("phase", pa.string()), ("rule", pa.string()), ("module", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("rule_ord", pa.int32()), ("issue_ord", pa.int32())]))
 
 
-def found_in(code: str, rules: Iterable[str] | None = None) -> tuple[bool, list[dict]]:
-    """Whether a source parses, and its idiom issues or its parse error."""
+def found_in(code: str, rules: Iterable[str] | None = None, derive: bool = False) -> tuple[bool, list[dict]]:
+    """Whether a source parses, and its issues (those of derived diagnostics first) or its parse error."""
     try:
         tree = Tree(code)
     except ParseError as e:
-        return False, [{"rule": "parse_error", "module": "Pattern", "message": str(e), "line": e.line, "rule_ord": 0, "issue_ord": 0}]
+        return False, [{"phase": "pattern", "rule": "parse_error", "module": "Pattern", "message": str(e), "line": e.line, "rule_ord": 0, "issue_ord": 0}]
     except RecursionError:
-        return False, [{"rule": "parse_error", "module": "Pattern", "message": "nested too deeply", "line": None, "rule_ord": 0, "issue_ord": 0}]
+        return False, [{"phase": "pattern", "rule": "parse_error", "module": "Pattern", "message": "nested too deeply", "line": None, "rule_ord": 0, "issue_ord": 0}]
     wanted = None if rules is None else set(rules)
     out = []
+    for k, (ord_, module, name, message, line) in enumerate(taken(diagnose(tree)) if derive else ()):
+        out.append({"phase": "semantic", "rule": name, "module": module, "message": message, "line": line, "rule_ord": ord_, "issue_ord": k})
     for ord_, r in enumerate(patterns.RULES):
         if wanted is None or r.module in wanted:
             for k, (line, detail) in enumerate(r.check(tree)):
-                out.append({"rule": r.rule, "module": r.module, "message": r.message.replace("{detail}", detail), "line": line, "rule_ord": ord_, "issue_ord": k})
+                out.append({"phase": "pattern", "rule": r.rule, "module": r.module, "message": r.message.replace("{detail}", detail), "line": line, "rule_ord": ord_, "issue_ord": k})
     return True, out
 
 
-def parsed(source: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
-    """``source`` with parse status and idiom issues; a null text is an empty source."""
+def parsed(source: DataFrame, rules: Iterable[str] | None = None, derive: bool = False) -> DataFrame:
+    """``source`` with parse status and issues; a null text is an empty source."""
     ship_package(source.sparkSession)
     wanted = None if rules is None else tuple(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [found_in(c or "", wanted) for c in b.column("code").to_pylist()]
+            got = [found_in(c or "", wanted, derive) for c in b.column("code").to_pylist()]
             cols = [b.column("source_id"), b.column("path"), b.column("code"), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], _ISSUES)]
             yield pa.RecordBatch.from_arrays(cols, names=["source_id", "path", "code", "parses", "issues"])
 
@@ -61,7 +64,7 @@ def _syntax_issues() -> Column:
         found = []
         for ord_, r in enumerate(syntax.RULES):
             for k, (when, atom, message) in enumerate(r.issues(line)):
-                issue = F.struct(atom.alias("rule"), F.lit(r.module).alias("module"), message.alias("message"), (at + 1).alias("line"), F.lit(ord_).alias("rule_ord"), (at * 2 + k).alias("issue_ord"))
+                issue = F.struct(F.lit("syntax").alias("phase"), atom.alias("rule"), F.lit(r.module).alias("module"), message.alias("message"), (at + 1).alias("line"), F.lit(ord_).alias("rule_ord"), (at * 2 + k).alias("issue_ord"))
                 found.append(F.when(when, issue))
         return F.array_compact(F.array(*found))
 
@@ -71,13 +74,14 @@ def _syntax_issues() -> Column:
     )
 
 
-def analyze(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None) -> DataFrame:
-    """Issues of a corpus: the syntax issues of a source that has any, else its semantic and idiom issues."""
-    rows = parsed(source, rules).withColumn("syntax", F.when(~F.col("parses"), _syntax_issues()))
+def analyze(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> DataFrame:
+    """Issues of a corpus: the syntax issues of a source that has any, else its semantic and idiom issues.
+
+    ``diagnostics`` (what a compiler said) take the place of derived ones; ``rules`` picks idiom rules.
+    """
+    rows = parsed(source, rules, derive and diagnostics is None).withColumn("syntax", F.when(~F.col("parses"), _syntax_issues()))
     stopped = F.coalesce(F.size("syntax") > 0, F.lit(False))
-    phase = F.when(stopped, F.lit("syntax")).otherwise("pattern")
-    out = rows.select("source_id", phase.alias("phase"), F.explode(F.when(stopped, F.col("syntax")).otherwise(F.col("issues"))).alias("i"))
-    out = out.select("source_id", "phase", "i.rule", "i.module", "i.message", "i.line", "i.rule_ord", "i.issue_ord")
+    out = rows.select("source_id", F.explode(F.when(stopped, F.col("syntax")).otherwise(F.col("issues"))).alias("i")).select("source_id", "i.*")
     if diagnostics is not None:
         held = rows.where(stopped).select("source_id")
         out = out.unionByName(semantic.issues(diagnostics).join(held, "source_id", "left_anti"))

@@ -17,6 +17,7 @@ from loomlint.functions.elixir import ParseError, parse
 from loomlint.functions.tree import Tree
 from loomlint.operators import semantic, syntax
 from loomlint.operators.analysis import analyze
+from loomlint.operators.diagnose import diagnose, taken
 from loomlint.plans import patterns
 from loomlint.plans.rewrites import REWRITES, apply
 from loomlint.session import ship_package
@@ -66,10 +67,34 @@ def fix_diagnosed(code: str, diagnostics: list[tuple]) -> tuple[str, list[tuple[
     return code, list(applied.items())
 
 
-def fix(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None) -> DataFrame:
-    """source_id, code, applied (rule and count, in order) of every source."""
+def fix_derived(code: str) -> tuple[str, list[tuple[str, int]], bool]:
+    """A source after the fixes of its derived diagnostics, in up to ``PASSES`` passes, and whether no error is left.
+
+    While there are errors, they are fixed and the source is looked at again; a pass over warnings is the last.
+    """
+    applied: dict[str, int] = {}
+    for _ in range(PASSES):
+        if not parses(code):
+            break
+        found = diagnose(Tree(code))
+        failed = any(s == "error" for s, _, _ in found)
+        new, some = fix_diagnosed(code, [(module, message, line) for _, module, _, message, line in taken(found)])
+        for module, n in some:
+            applied[module] = applied.get(module, 0) + n
+        changed, code = new != code, new
+        if not failed or not changed:
+            break
+    clean = parses(code) and not any(s == "error" for s, _, _ in diagnose(Tree(code)))
+    return code, list(applied.items()), clean
+
+
+def fix(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> DataFrame:
+    """source_id, code, applied (rule and count, in order) of every source.
+
+    Without ``diagnostics`` they are derived, and idioms are left alone in a source that has errors.
+    """
     ship_package(source.sparkSession)
-    wanted = None if rules is None else tuple(rules)
+    wanted, derived = None if rules is None else tuple(rules), derive and diagnostics is None
     # the syntax rewrites are SQL; they are taken where the text did not parse
     fixed = syntax.fix_lines(source).withColumnsRenamed({"code": "_code", "applied": "_syntax"})
     rows = source.select("source_id", "code").join(fixed, "source_id", "left")
@@ -88,8 +113,12 @@ def fix(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable
                 if code is not None:
                     if row["_code"] is not None and not parses(code):
                         code, done = row["_code"], [(x["rule"], x["count"]) for x in row["_syntax"] or []]
-                    code, more = fix_diagnosed(code, [(x["module"], x["message"], x["line"]) for x in row["_told"] or []])
-                    code, last = fix_idioms(code, wanted)
+                    if derived:
+                        code, more, clean = fix_derived(code)
+                    else:
+                        code, more = fix_diagnosed(code, [(x["module"], x["message"], x["line"]) for x in row["_told"] or []])
+                        clean = True
+                    code, last = fix_idioms(code, wanted) if clean else (code, [])
                     done += more + last
                 ids.append(row["source_id"])
                 codes.append(code)
@@ -99,10 +128,10 @@ def fix(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable
     return rows.select("source_id", "code", "_code", "_syntax", "_told").mapInArrow(run, schema.FIX)
 
 
-def fix_and_analyze(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def fix_and_analyze(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> tuple[DataFrame, DataFrame]:
     """The fixed corpus, and what is left to say about it."""
-    fixed = fix(source, diagnostics, rules)
-    return fixed, analyze(fixed.select("source_id", F.lit(None).cast("string").alias("path"), "code"), rules=rules)
+    fixed = fix(source, diagnostics, rules, derive)
+    return fixed, analyze(fixed.select("source_id", F.lit(None).cast("string").alias("path"), "code"), rules=rules, derive=derive)
 
 
 def trace(before: str, after: str) -> list[tuple[str, int, str]]:
