@@ -33,29 +33,38 @@ def parses(code: str) -> bool:
     return True
 
 
+def tree_of(code: str) -> Tree | None:
+    try:
+        return Tree(code)
+    except (ParseError, RecursionError):
+        return None
+
+
 def fix_idioms(code: str, rules: Iterable[str] | None = None) -> tuple[str, list[tuple[str, int]]]:
-    """A source after the idiom rewrites, and (rule, number of its issues) for each rule that had any."""
+    """A source after the idiom rewrites, and (rule, number of its issues) for each rule that changed it.
+
+    A text is parsed once and serves all rules until one changes it.
+    """
     wanted, applied = None if rules is None else set(rules), []
-    if not parses(code):
+    tree = tree_of(code)
+    if tree is None:
         return code, applied
     for r in patterns.RULES:
-        if not r.fixable or wanted is not None and r.module not in wanted or r.module not in REWRITES:
-            continue
-        n = sum(1 for _ in r.check(Tree(code)))
-        if not n:
+        if r.module not in REWRITES or wanted is not None and r.module not in wanted:
             continue
-        before = code
-        for _ in range(AGAIN):
-            tree = Tree(code)
-            if not any(True for _ in r.check(tree)):
+        first = 0
+        for turn in range(AGAIN):
+            n = sum(1 for _ in r.check(tree))
+            if not n:
                 break
-            new = apply(code, REWRITES[r.module](tree))
-            if new == code or not parses(new):
+            new = apply(tree.code, REWRITES[r.module](tree))
+            after = tree_of(new) if new != tree.code else None
+            if after is None:
                 break
-            code = new
-        if code != before:
-            applied.append((r.module, n))
-    return code, applied
+            first, tree = n if not turn else first, after
+        if first:
+            applied.append((r.module, first))
+    return tree.code, applied
 
 
 def fix_diagnosed(code: str, diagnostics: list[tuple]) -> tuple[str, list[tuple[str, int]]]:
