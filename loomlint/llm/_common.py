@@ -20,6 +20,18 @@ BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Arrow batches of texts are cut at so many bytes on their way to Python, for both sides hold them twice.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit for Arrow batches to ``BATCH_BYTES`` if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables written to the cluster's shared folder: they cut lineage and survive lost executors.
 
@@ -29,6 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         ship_package(spark)
+        small_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
         self.root = f"{root.rstrip('/')}/loomlint/{what}-{uuid.uuid4().hex}"
 
