@@ -211,7 +211,7 @@ def _(t: Tree) -> Found:
             return
         if (c := _traversal(n)) is not None:
             yield (*c, n.line)
-        for x in n.args:
+        for x in [*n.args, *([n.body] if n.body is not None else [])]:
             yield from inline(x)
 
     for block in t.blocks:
@@ -337,7 +337,7 @@ def _(t: Tree) -> Found:
 def _(t: Tree) -> Found:
     for n in t.pipes:
         s = steps(n)
-        plain = any(remote(x, "Enum", "sort", 0) or remote(x, "Enum", "sort", 1) and direction(x.args[0]) is None for x in s)
+        plain = any(remote(x, "Enum", "sort", 0) or remote(x, "Enum", "sort", 1) and not (atom(x.args[0], "asc", "desc") or x.args[0].kind == "fn" or local(x.args[0], "&")) for x in s)
         if plain and any(remote(x, "Enum", "take", 1) and local(x.args[0], "-", 1) and x.args[0].args[0].kind == "int" for x in s):
             yield n.line, ""
 
@@ -476,7 +476,7 @@ def _(t: Tree) -> Found:
             near = [x for y in _after_until(block, i, name) for x in y.walk() if x.kind == "call" and x.target is None and len(x.args) == 2]
             sides = lambda x: {var(x.args[0]), var(x.args[1])}
             equal = any(x.name in ("==", "!=", "===", "!==") and name in sides(x) and sentinel in (integer(x.args[0]), integer(x.args[1])) for x in near)
-            if equal or any(x.name in ("<", ">", "<=", ">=") and name in sides(x) for x in near):
+            if equal or any(x.name in ("<", ">", "<=", ">=") and name in sides(x) and sentinel not in (integer(x.args[0]), integer(x.args[1])) for x in near):
                 yield s.line, name
 
 
@@ -655,7 +655,7 @@ def _(t: Tree) -> Found:
 def _(t: Tree) -> Found:
     seen: dict[str, list[int]] = {}
     for n in t.remotes("Enum", "at", 2):
-        if var(n.args[0]) and n.args[1].kind == "int":
+        if var(n.args[0]) and integer(n.args[1]) is not None:
             seen.setdefault(n.args[0].name, []).append(n.line)
     for name in sorted(seen):
         if len(seen[name]) >= 3:

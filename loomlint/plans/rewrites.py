@@ -223,7 +223,7 @@ def _(t):
                 continue
             near = [x for y in p._after_until(block, i, name) for x in y.walk() if local(x) and len(x.args) == 2 and name in (var(x.args[0]), var(x.args[1]))]
             equal = [x for x in near if x.name in ("==", "!=", "===", "!==") and sentinel in (integer(x.args[0]), integer(x.args[1]))]
-            order = [x for x in near if x.name in ("<", ">", "<=", ">=")]
+            order = [x for x in near if x.name in ("<", ">", "<=", ">=") and sentinel not in (integer(x.args[0]), integer(x.args[1]))]
             if equal or order:
                 yield whole(get, f"Map.get({t.text(get.args[0])}, {t.text(get.args[1])})")
                 for x in equal:

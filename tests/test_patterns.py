@@ -64,3 +64,23 @@ def test_a_later_traversal_counts_even_outside_the_first():
 
 def test_pipelines_report_once_for_each_enclosing_pipe():
     assert len(list(BY["NoMapThenAggregate"].check(Tree("xs |> Enum.map(f) |> Enum.sum() |> a()")))) == 2
+
+
+@pytest.mark.parametrize(
+    ("module", "code", "n"),
+    [
+        ("NoMultipleEnumAt", "{Enum.at(l, 0), Enum.at(l, -1), Enum.at(l, 2)}", 1),
+        ("NoMapGetSentinel", "v = Map.get(m, k, -1)\nv > -1", 0),
+        ("PreferDescSortOverNegativeTake", "xs |> Enum.sort(fn a, b -> f(a) > g(b) end) |> Enum.take(-3)", 0),
+        ("PreferDescSortOverNegativeTake", "Enum.sort(xs) |> Enum.map(&f/1) |> Enum.take(-3)", 1),
+        ("NoRedundantListTraversal", "a = f(fn -> length(xs) end)\nb = Enum.sum(xs)\n{a, b}", 1),
+        ("NoEnumCountForLength", "xs |> Enum.count(pred)", 1),
+        ("NoMapKeysOrValuesForIteration", "a |> b() |> Map.keys() |> Enum.map(f)", 1),
+        ("NoEnumAtInLoop", "for i <- is do\n  {Enum.at(xs, i), Enum.at(ys, i)}\nend", 1),
+        ("InconsistentParamNames", "def f(_a, x), do: x\ndef f(b, x), do: {b, x}", 1),
+        ("NonGroupedClauses", "defmodule M do\n  def f(1), do: 1\n  @doc \"x\"\n  def f(2), do: 2\nend", 1),
+        ("NoListToTupleForAccess", "t = List.to_tuple(a)\nu = List.to_tuple(b)\n{elem(t, 0), elem(t, 1), elem(u, 0)}", 2),
+    ],
+)
+def test_details_that_decide_counts(module, code, n):
+    assert len(list(BY[module].check(Tree(code)))) == n
