@@ -154,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog": _catalog,
     "verdicts": _verdicts,
     "fix_corpus": _fixed,
+    "fix_trace": lambda spark, sf: fix.traced(fixture_corpus(spark)),
     **{f"pattern_{r.module}": partial(_pattern, r.module) for r in patterns.RULES if r.module in fixtures.CASES},
     **relational.QUERIES,
     **vocabulary.QUERIES,

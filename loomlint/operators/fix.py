@@ -143,6 +143,40 @@ def fix_and_analyze(source: DataFrame, diagnostics: DataFrame | None = None, rul
     return fixed, analyze(fixed.select("source_id", F.lit(None).cast("string").alias("path"), "code"), rules=rules, derive=derive)
 
 
+def steps(code: str, rules: Iterable[str] | None = None) -> Iterator[tuple[str, str, str]]:
+    """(rule, text before, text after) of every rule that changes a source, in the order in which ``fix`` applies them."""
+    if not parses(code):
+        return  # the line rules are SQL: see ``syntax.fix_lines``
+    new, applied, clean = fix_derived(code)
+    if new != code:
+        yield "+".join(m for m, _ in applied), code, new
+    if clean:
+        for r in patterns.RULES:
+            if r.module in REWRITES and (rules is None or r.module in rules):
+                before, (new, _) = new, fix_idioms(new, [r.module])
+                if new != before:
+                    yield r.module, before, new
+
+
+def traced(source: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
+    """source_id, step, rule, op, line_no, text: the lines that each rule of a fix changes."""
+    ship_package(source.sparkSession)
+    wanted = None if rules is None else tuple(rules)
+    out = pa.schema([("source_id", pa.int64()), ("step", pa.int32()), ("rule", pa.string()), ("op", pa.string()), ("line_no", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (source_id, k, rule, op, line, text)
+                for source_id, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                for k, (rule, before, after) in enumerate(steps(code or "", wanted))
+                for op, line, text in trace(before, after)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+
+    return source.select("source_id", "code").mapInArrow(run, "source_id long, step int, rule string, op string, line_no int, text string")
+
+
 def trace(before: str, after: str) -> list[tuple[str, int, str]]:
     """(removed or added, line, text) of lines that differ at the same place."""
     a, b = before.split("\n"), after.split("\n")
@@ -154,4 +188,4 @@ def trace(before: str, after: str) -> list[tuple[str, int, str]]:
     return out
 
 
-__all__ = ["fix", "fix_and_analyze", "fix_diagnosed", "fix_idioms", "trace"]
+__all__ = ["fix", "fix_and_analyze", "fix_diagnosed", "fix_idioms", "steps", "trace", "traced"]

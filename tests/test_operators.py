@@ -175,6 +175,17 @@ def test_trace():
     assert fix.trace("a\nb", "a\nc\nd") == [("removed", 2, "b"), ("added", 2, "c"), ("added", 3, "d")]
 
 
+def test_traced_fix(spark):
+    source = corpus(spark, "def f(xs, n) do\n  Enum.at(xs, -1)\nend", "x", None)
+    got = sorted((r.source_id, r.step, r.rule, r.op, r.line_no, r.text.strip()) for r in fix.traced(source).collect())
+    assert got == [
+        (1, 0, "UnusedVariable", "added", 1, "def f(xs, _n) do"),
+        (1, 0, "UnusedVariable", "removed", 1, "def f(xs, n) do"),
+        (1, 1, "NoEnumAtNegativeIndex", "added", 2, "List.last(xs)"),
+        (1, 1, "NoEnumAtNegativeIndex", "removed", 2, "Enum.at(xs, -1)"),
+    ]
+
+
 def test_node_table_is_interval_encoded(spark):
     rows = nodes(corpus(spark, "xs |> Enum.map(&f/1) |> Enum.sum()")).orderBy("id").collect()
     assert [r.id for r in rows] == list(range(len(rows)))
