@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,16 +115,75 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("score", matcher.score(F.col("name"), F.col("candidate")))
 
 
+_LADDER = """CAST(CASE WHEN candidate = name || '?' THEN 100 WHEN candidate = name || '!' THEN 95
+WHEN contains(name, '__') AND candidate = replace(name, '__', '?') THEN 90 WHEN contains(name, '__') AND candidate = replace(name, '__', '!') THEN 85
+WHEN candidate <> name AND starts_with(name, candidate) THEN 80 WHEN candidate <> name AND starts_with(candidate, name) THEN 75
+WHEN candidate <> name AND (contains(candidate, name) OR contains(name, candidate)) THEN 70 ELSE floor(jaro_similarity(name, candidate) * 60 + 0.5) END AS INTEGER)"""
 _SCORE_SQL = (
     "WITH "
     + _rows_sql("p", "name, candidate", PAIRS)
-    + """ SELECT name, candidate, CAST(CASE WHEN candidate = name || '?' THEN 100 WHEN candidate = name || '!' THEN 95
-WHEN contains(name, '__') AND candidate = replace(name, '__', '?') THEN 90 WHEN contains(name, '__') AND candidate = replace(name, '__', '!') THEN 85
-WHEN candidate <> name AND starts_with(name, candidate) THEN 80 WHEN candidate <> name AND starts_with(candidate, name) THEN 75
-WHEN candidate <> name AND (contains(candidate, name) OR contains(name, candidate)) THEN 70 ELSE floor(jaro_similarity(name, candidate) * 60 + 0.5) END AS INTEGER) AS score FROM p"""
+    + f" SELECT name, candidate, {_LADDER} AS score FROM p"
 )
 
 
+#: Functions of modules, in order, and names asked for: (source_id, module, ord, function, arity, visibility).
+FUNCTIONS = [
+    (1, "A", 0, "scan_rows", 1, "def"), (1, "A", 1, "scan", 1, "defp"), (1, "A", 2, "scan_all", 2, "def"), (1, "A", 3, "scan_rows", 1, "def"), (1, "B", 0, "walk?", 0, "def"), (1, "B", 1, "do_walk", 0, "defp"),
+]
+ASKED = [(1, "A", "scans", 1, False), (1, "A", "scan_row", 1, True), (1, "B", "walk", 0, False), (1, "B", "walk", 3, False)]
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    functions = spark.createDataFrame(FUNCTIONS, "source_id long, module string, ord int, function string, arity int, visibility string")
+    asked = spark.createDataFrame(ASKED, "source_id long, module string, name string, arity int, public_only boolean")
+    return matcher.candidates(asked, functions).select("module", "name", "function", "score", "rank")
+
+
+_CANDIDATES_SQL = (
+    "WITH "
+    + _rows_sql("f", "source_id, module, ord, candidate, arity, visibility", FUNCTIONS)
+    + ", "
+    + _rows_sql("a", "source_id, module, name, arity, public_only", ASKED)
+    + f""", u AS (SELECT source_id, module, candidate, arity, min(ord) AS ord, arg_min(visibility, ord) AS visibility FROM f GROUP BY ALL),
+s AS (SELECT module, name, candidate, ord, {_LADDER} AS score FROM a JOIN u USING (source_id, module, arity) WHERE visibility = 'def' OR NOT public_only)
+SELECT module, name, candidate AS function, score, CAST(row_number() OVER (PARTITION BY module, name ORDER BY score DESC, ord) AS INTEGER) AS rank FROM s"""
+)
+#: A line before and after the rewrite of a diagnostic: (module, message, line).
+DIAGNOSED = [
+    ("UndefinedFunction", "Enum.last/1 is undefined or private", "Enum.last(xs)"),
+    ("UndefinedFunction", "Float.inf/0 is undefined or private", "-Float.inf()"),
+    ("UndefinedFunction", "List.second/1 is undefined or private", "List.second(xs)"),
+    ("UndefinedFunction", "Enum.take_last/2 is undefined or private", "Enum.take_last(xs, n)"),
+    ("UndefinedFunction", "undefined function sorted/1", "sorted(xs)"),
+    ("UndefinedFunction", "undefined function max/3", "max(a, b, c)"),
+    ("UndefinedFunction", "undefined function range/2", "range(1, n)"),
+    ("UndefinedStringAlphanumeric", "String.alphanumeric?/1 is undefined or private", "String.alphanumeric?(c)"),
+    ("UnusedVariable", 'variable "n" is unused', "n = count"),
+    ("UsedUnderscoreVariable", 'variable "_x" is used after being set', "_x + 1"),
+    ("OutdentedHeredoc", "outdented heredoc line", "plain"),
+    ("MissingUseExunitCase", "undefined function test/2", 'defmodule T do\n  test "x" do\n    1\n  end\nend'),
+]
+
+
+def _semantic_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    rows = spark.createDataFrame(DIAGNOSED, "module string, message string, before string")
+
+    @F.pandas_udf("string")
+    def after(module: pd.Series, message: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([semantic.rewrite(c, m, text, 1) for m, text, c in zip(module, message, before, strict=True)])
+
+    return rows.withColumn("after", after("module", "message", "before"))
+
+
+def _analyzed(spark: SparkSession, sf: str) -> DataFrame:
+    """All issues of all fixture sources, clean ones included."""
+    rows = [(1000 * k + i, path, code) for k, module in enumerate(sorted(fixtures.CASES), 1) for i, path, code in fixtures.sources(module)]
+    source = spark.createDataFrame(rows, "source_id long, path string, code string")
+    return analysis.analyze(source).select("source_id", "phase", "rule", F.col("line").cast("long").alias("line"))
+
+
 def _pattern(module: str, spark: SparkSession, sf: str) -> DataFrame:
     """An idiom rule over its fixture sources."""
     source = spark.createDataFrame(fixtures.sources(module), "source_id long, path string, code string")
@@ -151,6 +211,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"syntax_fix_{r.module}": partial(_syntax_fix, r.module) for r in syntax.RULES},
     "semantic_dispatch": _dispatch,
     "matcher_scores": _scores,
+    "matcher_candidates": _candidates,
+    "semantic_fixes": _semantic_fixes,
+    "analyze_corpus": _analyzed,
     "catalog": _catalog,
     "verdicts": _verdicts,
     "fix_corpus": _fixed,
@@ -170,6 +233,7 @@ ORACLES: dict[str, str] = {
     "syntax_fix_FixStaleAccessModifier": _fix_sql(_STALE, r"\1\3"),
     "semantic_dispatch": _DISPATCH_SQL,
     "matcher_scores": _SCORE_SQL,
+    "matcher_candidates": _CANDIDATES_SQL,
     **relational.ORACLES,
     **vocabulary.ORACLES,
 }
