@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomlint.functions import vocabulary
 from loomlint.operators import analysis, fix, matcher, semantic, syntax
-from loomlint.plans import fixtures, patterns, relational
+from loomlint.plans import fixtures, patterns, relational, rule_sql
 from loomlint.session import ship_package
 from loomlint.sources.corpus import diff, fixture_corpus, lines, read_table
 
@@ -234,6 +234,7 @@ ORACLES: dict[str, str] = {
     "semantic_dispatch": _DISPATCH_SQL,
     "matcher_scores": _SCORE_SQL,
     "matcher_candidates": _CANDIDATES_SQL,
+    **rule_sql.ORACLES,
     **relational.ORACLES,
     **vocabulary.ORACLES,
 }
