@@ -20,6 +20,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -155,6 +156,51 @@ def walk(block: Block, totals: list[np.ndarray], stats: tuple[int, int, int, int
     return np.log10(p), base, known
 
 
+class Automaton:
+    """The automaton itself, for counts that fit in memory: the reference for ``walk`` and a scorer of single texts.
+
+    A state is a context (a tuple of hashes, the root is empty).  ``arcs[state][token]`` is log10 of the probability of
+    a seen continuation, ``failure[state]`` log10 of the weight of the state without its first token.
+    """
+
+    def __init__(self, counts: dict[tuple[int, ...], int], backoff: Sequence[float]):
+        words = {k[0]: c for k, c in counts.items() if len(k) == 1}
+        once, twice = (sum(c == n for c in words.values()) for n in (1, 2))
+        d, total = once / (once + 2 * twice) if once else 0.5, sum(words.values())
+        self.order = len(backoff) + 1
+        self.unknown = math.log10(d * len(words) / total)
+        self.arcs: dict[tuple[int, ...], dict[int, float]] = {(): {w: math.log10((c - d) / total) for w, c in words.items()}}
+        self.failure: dict[tuple[int, ...], float] = {}
+        for gram in sorted((k for k in counts if len(k) > 1), key=len):
+            state, m = gram[:-1], backoff[len(gram) - 2]
+            self.failure[state] = math.log10(m / (counts[state] + m))
+            p = (counts[gram] + m * 10 ** self._step(state[1:], gram[-1])) / (counts[state] + m)
+            self.arcs.setdefault(state, {})[gram[-1]] = math.log10(p)
+
+    def _step(self, state: tuple[int, ...], token: int) -> float:
+        """log10 of a token's probability in a state: an arc, or failure arcs until there is one."""
+        weight = 0.0
+        while True:
+            arc = self.arcs.get(state, {}).get(token)
+            if arc is not None:
+                return weight + arc
+            if not state:
+                return weight + self.unknown
+            weight += self.failure.get(state, 0.0)
+            state = state[1:]
+
+    def score(self, tokens: Sequence[int]) -> float:
+        """log10 of the probability of a text's tokens, in one traversal from the state of a text's end."""
+        state, total = (END,), 0.0
+        for token in tokens:
+            total += self._step(state, token)
+            # the longest suffix of what was read that is a state
+            state = (*state, token)[-(self.order - 1) :] if self.order > 1 else ()
+            while state and state not in self.arcs:
+                state = state[1:]
+        return total
+
+
 def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float] = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, training, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession

@@ -322,6 +322,24 @@ def test_each_states_probabilities_sum_to_one():
     assert len(places) and abs(sum(after_a) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("backoff", [(50.0,), (20.0, 5.0, 2.0)])
+def test_blocks_score_as_the_automaton_does(backoff):
+    texts = [prose(int(n), i, 30).encode() for i, n in enumerate(np.random.default_rng(4).integers(0, 80, 12))]
+    order, counts = len(backoff) + 1, Counter()
+    for x in texts[:9]:
+        tokens = [language_model.END, *language_model.tokens([x])[0].tolist()]
+        for j in range(1, len(tokens)):
+            for n in range(1, order + 1):
+                if j - n + 1 >= 0:
+                    counts[tuple(tokens[j - n + 1 : j + 1])] += 1
+    machine = language_model.Automaton(counts, backoff)
+    block = language_model.Block(texts, np.array([True] * 9 + [False] * 3), order)
+    words = [c for k, c in counts.items() if len(k) == 1]
+    model, _, _ = language_model.walk(block, block.own, (sum(words), len(words), words.count(1), words.count(2)), backoff)
+    got = np.add.reduceat(model, block.first)
+    assert np.allclose(got, [machine.score(language_model.tokens([x])[0].tolist()) for x in texts])
+
+
 def test_no_training_and_empty(spark):
     df = docs_of(spark, [(1, "a b"), (2, None)])
     got = language_model.score_documents(df, F.lit(False)).collect()

@@ -176,6 +176,21 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert dict(got) == want
 
 
+def test_mixed_blocks_hold_the_block_of_each_slot(spark):
+    docs = spark.createDataFrame([r[:3] for r in rows(60) if r[0] is not None and r[0] != 5 and r[1]], "doc_id long, text string, source string")
+    mixture = mixing.mix(docs, _common.Scratch(spark, "t"), block_words=8)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    lengths = {s.source_id: (s.block_words, s.words) for s in mixture.sources}
+    size = Counter()
+    for r in mixing.mixed_blocks(docs, mixture).collect():
+        assert r.text in " ".join(WORD.findall(texts[r.doc_id]))
+        size[r.source_id, r.slot, r.block] += len(r.text.split())
+    assert len(size) == sum(s.slots for s in mixture.sources)
+    for (source, _slot, block), n in size.items():
+        length, words = lengths[source]
+        assert n == min(length, words - block * length)
+
+
 # -- packing
 
 
