@@ -1,9 +1,11 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; the axis (and its sign) nearest to
-the rotated vector is its hash.  A table's bucket is ``HASHES`` such hashes; each vector also probes the buckets in
-which one hash is replaced by its second-nearest axis.  Vectors that share a bucket in any of ``TABLES`` tables are
-candidates, and every candidate pair is verified by its cosine in double precision.
+the rotated vector is its hash.  A table's bucket is a few such hashes; each vector also probes the buckets in which one
+hash is replaced by its second-nearest axis.  Vectors that share a bucket in any table are candidates, and every
+candidate pair is verified by its cosine in double precision.  The number of hashes follows the number of vectors, so
+that a table has some twenty buckets for each and unrelated vectors seldom meet; more hashes come with more tables
+(``TABLES``), which keeps the recall.
 
 Equal vectors are one class, so copies are never compared with each other.  A pair is counted only in the least of the
 buckets that it shares, so link counts need no list of pairs; each bucket gives counts per vector and a spanning star
@@ -21,46 +23,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, Union, batch, components, grouped_batches, map_arrow
 
-TABLES, HASHES, BUCKET, SEED = 8, 2, 1024, 11
+#: Tables for each number of hashes: recall at cosine 0.9 stays above 0.997 for 64 components (measured by the tests).
+TABLES = {2: 8, 3: 12, 4: 20, 5: 32}
+BUCKET, SEED = 1024, 11
+
+
+def plan(vectors: int, dim: int) -> tuple[int, int]:
+    """(tables, hashes) for a number of vectors: the fewest hashes whose buckets outnumber them twenty times."""
+    axes = 2 * max(2, 1 << (dim - 1).bit_length())
+    hashes = next((k for k in TABLES if axes**k >= 20 * vectors), max(TABLES))
+    return TABLES[hashes], hashes
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of each row; the width is a power of two."""
-    n, width = x.shape
+    """Walsh-Hadamard transform of each column, in place; the height is a power of two."""
+    width, n = x.shape
     step = 1
     while step < width:
-        y = x.reshape(n, width // (2 * step), 2, step)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, width)
+        y = x.reshape(width // (2 * step), 2, step, n)
+        total = y[:, 0] + y[:, 1]
+        np.subtract(y[:, 0], y[:, 1], out=y[:, 1])
+        y[:, 0] = total
         step *= 2
-    return x / np.sqrt(width)
+    x /= np.sqrt(width)
+    return x
 
 
-def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed: int = SEED) -> np.ndarray:
-    """Bucket ids (int64) of each row: its own and its probed ones, for every table."""
+def buckets(x: np.ndarray, tables: int, hashes: int, seed: int = SEED) -> np.ndarray:
+    """Bucket ids (int64) of each row, table by table: its own and its probed ones."""
     n, dim = x.shape
     width = max(2, 1 << (dim - 1).bit_length())
-    padded = np.zeros((n, width))
-    padded[:, :dim] = x
+    columns = np.zeros((width, n))  # a vector is a column, so every step of the transform runs along memory
+    columns[:dim] = x.T
     rng = np.random.default_rng([seed, width])
-    out = []
+    every, out = np.arange(n), []
     for table in range(tables):
         codes = []
         for _ in range(hashes):
-            y = padded
+            y = columns
             for _ in range(3):
-                y = hadamard(y * rng.choice([-1.0, 1.0], width))
+                y = hadamard(y * rng.choice([-1.0, 1.0], (width, 1)))
             size = np.abs(y)
-            nearest = np.argpartition(size, -2, axis=1)[:, -2:]
-            order = np.argsort(np.take_along_axis(size, nearest, 1), axis=1)
-            nearest = np.take_along_axis(nearest, order[:, ::-1], 1)
-            codes.append(2 * nearest + (np.take_along_axis(y, nearest, 1) < 0))
-        own = [c[:, 0] for c in codes]
-        probes = [own] + [[*own[:h], codes[h][:, 1], *own[h + 1 :]] for h in range(hashes)]
+            first = size.argmax(axis=0)
+            size[first, every] = -1
+            second = size.argmax(axis=0)
+            codes.append([2 * axis + (y[axis, every] < 0) for axis in (first, second)])
+        own = [c[0] for c in codes]
+        probes = [own] + [[*own[:h], codes[h][1], *own[h + 1 :]] for h in range(hashes)]
         for probe in probes:
             key = np.full(n, (table + 1) * 1_000_003 + dim, np.uint64)
             for c in probe:
@@ -75,33 +90,69 @@ def usable(vector: str) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def compare(u: np.ndarray, codes: np.ndarray, bucket: int, block: np.ndarray, two: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of unit rows at ``cosine`` or more whose least common bucket is this one; only those of different
-    blocks, if the group is of two."""
-    found = []
-    for s in range(0, len(u), 512):
-        i, j = np.nonzero(u[s : s + 512] @ u.T >= cosine)
-        i += s
-        right = (i < j) & ((block[i] != block[j]) if two else True)
-        found.append((i[right], j[right]))
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    lower = codes < bucket
-    keep = np.ones(len(i), bool)
+SMALL = 16  # groups up to this size are compared together
+
+
+def near_pairs(u: np.ndarray, starts: np.ndarray, ends: np.ndarray, bucket: np.ndarray, least: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of unit rows at ``cosine`` or more within the groups starts[k]:ends[k] of bucket[k].
+
+    Rows whose least buckets are one and less than the group's meet there already and are not compared again; a group of
+    near copies costs its pairs once, not once for each bucket that it fills.
+    """
+    found = [np.zeros((2, 0), np.int64)]
+    sizes = ends - starts
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        p, q = np.triu_indices(m, 1)
+        i, j = ((starts[sizes == m][:, None] + x).ravel() for x in (p, q))
+        own = np.repeat(bucket[sizes == m], len(p))
+        new = (least[i] != least[j]) | (least[i] == own)
+        i, j = i[new], j[new]
+        for s in range(0, len(i), 100_000):
+            a, b = i[s : s + 100_000], j[s : s + 100_000]
+            near = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
+            found.append(np.stack([a[near], b[near]]))
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        rows = np.arange(starts[k], ends[k])
+        rows = rows[np.argsort(least[rows], kind="stable")]
+        first = np.flatnonzero(np.append(True, least[rows][1:] != least[rows][:-1]))
+        last = np.append(first[1:], len(rows))
+        for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
+            # one class of rows against those of later classes, and with itself if they first meet here
+            rest = rows[lo:] if least[rows[lo]] == bucket[k] else rows[hi:]
+            for s in range(lo, hi, 512) if len(rest) else ():
+                i, j = np.nonzero(u[rows[s : min(hi, s + 512)]] @ u[rest].T >= cosine)
+                i, j = rows[i + s], rest[j]
+                once = (least[i] != least[j]) | (i < j)
+                i, j = i[once], j[once]
+                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+    i, j = np.concatenate(found, axis=1)
+    return i, j
+
+
+def met_before(codes: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether rows i and j share a bucket that is less than theirs; ``codes`` are by row, table and probe."""
+    out = np.zeros(len(i), bool)
     for s in range(0, len(i), 50_000):
-        a, b = i[s : s + 50_000], j[s : s + 50_000]
-        shared = (codes[a][:, :, None] == codes[b][:, None, :]) & lower[a][:, :, None]
-        keep[s : s + 50_000] = ~shared.any(axis=(1, 2))
-    return i[keep], j[keep]
+        a, b, own = codes[i[s : s + 50_000]], codes[j[s : s + 50_000]], bucket[s : s + 50_000, None]
+        for p in range(codes.shape[2]):
+            mine = a[:, :, p]
+            lower = mine < own
+            for q in range(codes.shape[2]):
+                out[s : s + 50_000] |= ((mine == b[:, :, q]) & lower).any(axis=1)
+    return out
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLES, hashes: int = HASHES, bucket_size: int = BUCKET) -> DataFrame:
-    """``vectors`` (vec_id, embedding) to vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None = None, hashes: int | None = None, bucket_size: int = BUCKET) -> DataFrame:
+    """``vectors`` (vec_id, embedding) to vec_id, n_links, component_id, kept; tables and hashes by ``plan`` if not given."""
     scratch = Scratch(vectors.sparkSession, "vectors")
     double = "array<double>" in vectors.schema["embedding"].dataType.simpleString()
     kind = np.float64 if double else np.float32
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding").withColumn("ok", usable("embedding"))
     keys = [F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")]
     classes = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    if tables is None or hashes is None:
+        n, dim = rows.where("ok").agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+        tables, hashes = plan(n, dim or 1)
     coded_schema = [("cls", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("vec", pa.binary()), ("codes", pa.list_(pa.int64()))]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,34 +183,42 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLE
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, ["bucket", "x", "y"]):
-            key = np.stack([table.column(c).to_numpy() for c in ("bucket", "x", "y")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [table.num_rows]])
-            a, b, links = [], [], []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e - s < 2:
-                    continue
-                part = table.slice(s, e - s)
-                cls, n = part.column("cls").to_numpy(), part.column("n").to_numpy()
-                v = np.array([np.frombuffer(x, kind) for x in part.column("vec").to_pylist()], np.float64)
-                codes = np.array(part.column("codes").to_pylist(), np.int64)
-                i, j = compare(v / np.linalg.norm(v, axis=1, keepdims=True), codes, int(key[0, s]), part.column("block").to_numpy(), key[1, s] != key[2, s], cosine)
-                if not len(i):
-                    continue
-                add = np.bincount(i, n[j], len(cls)) + np.bincount(j, n[i], len(cls))
-                some = np.flatnonzero(add)
-                a += cls[some].tolist()
-                b += [None] * len(some)
-                links += add[some].astype(np.int64).tolist()
-                union = Union(len(cls))
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    union.join(p, q)
-                star = [(p, r) for p in range(len(cls)) if (r := union.find(p)) != p]
-                a += [int(cls[p]) for p, _ in star]
-                b += [int(cls[r]) for _, r in star]
-                links += [0] * len(star)
-            if a:
-                yield batch(schema, a=a, b=b, links=links)
+            table = table.combine_chunks()
+            bucket, x, y, block, cls, n = (table.column(c).to_numpy() for c in ("bucket", "x", "y", "block", "cls", "n"))
+            vec, lists = table.column("vec").chunk(0), table.column("codes").chunk(0)
+            codes = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(cls), tables, -1)
+            new = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            ends = np.append(starts[1:], len(cls))
+            flat = np.frombuffer(b"".join(vec.to_pylist()), kind).astype(np.float64)
+            sizes = pc.binary_length(vec).to_numpy() // np.dtype(kind).itemsize
+            at = np.cumsum(sizes) - sizes
+            least = codes.min(axis=(1, 2))
+            pairs = []
+            for dim in np.unique(sizes).tolist():  # vectors of one bucket are of one length
+                groups = sizes[starts] == dim
+                rows = np.flatnonzero(sizes == dim)
+                u = flat[at[rows][:, None] + np.arange(dim)]
+                u /= np.linalg.norm(u, axis=1, keepdims=True)
+                i, j = near_pairs(u, np.searchsorted(rows, starts[groups]), np.searchsorted(rows, ends[groups]), bucket[starts[groups]], least[rows], cosine)
+                pairs.append((rows[i], rows[j]))
+            i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            # a group of two blocks is for the pairs between them
+            right = (x[i] == y[i]) | (block[i] != block[j])
+            i, j = i[right], j[right]
+            keep = ~met_before(codes, i, j, bucket[i])
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            add = np.bincount(i, n[j], len(cls)) + np.bincount(j, n[i], len(cls))
+            some = np.flatnonzero(add)
+            union = Union(len(cls))
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                union.join(p, q)
+            star = [(p, r) for p in some.tolist() if (r := union.find(p)) != p]
+            a = np.concatenate([cls[some], cls[[p for p, _ in star]]]) if star else cls[some]
+            b = [None] * len(some) + [int(cls[r]) for _, r in star]
+            yield batch(schema, a=a, b=b, links=[*add[some].astype(np.int64).tolist(), *[0] * len(star)])
 
     found = scratch.keep(map_arrow(dealt, search, "a long, b long, links long"), "found")
     scratch.drop("crowded")

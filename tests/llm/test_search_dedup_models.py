@@ -224,25 +224,34 @@ def links_by_hand(rows):
     return linked
 
 
-@pytest.mark.parametrize("bucket", [1024, 3])
-def test_vector_links(spark, bucket):
+@pytest.mark.parametrize(("bucket", "hashes"), [(1024, 2), (3, 2), (64, 3)])
+def test_vector_links(spark, bucket, hashes):
     df, rows = clusters(spark)
     linked = links_by_hand(rows)
     n, root = Counter(x for p in linked for x in p), roots_of(range(len(rows)), linked)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, bucket_size=bucket).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, bucket_size=bucket, hashes=hashes, tables=vectors.TABLES[hashes]).collect()}
     assert got == {i: (n[i], root[i], root[i] == i) for i in range(len(rows))}
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize(("hashes", "least"), [(2, 0.997), (3, 0.997), (4, 0.997)])
+def test_recall_at_the_threshold(hashes, least):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = vectors.buckets(x), vectors.buckets(0.9 * x + math.sqrt(1 - 0.81) * z)
-    assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() > 0.99
+    tables = vectors.TABLES[hashes]
+    a, b = (vectors.buckets(v, tables, hashes) for v in (x, 0.9 * x + math.sqrt(1 - 0.81) * z))
+    assert np.mean([np.intersect1d(p, q).size > 0 for p, q in zip(a, b, strict=True)]) > least
+
+
+def test_more_vectors_take_more_hashes():
+    assert vectors.plan(500, 64) == (8, 2)
+    assert vectors.plan(50_000, 64) == (12, 3)
+    assert vectors.plan(10_000_000, 64) == (20, 4)
+    assert vectors.plan(0, 1) == (8, 2)
 
 
 def test_top_k(spark):
