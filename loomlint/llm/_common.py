@@ -58,10 +58,17 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables of this package from the shared folder, once no result is read from them any more."""
+    scratch = Scratch(spark, "clear")
+    scratch.root = scratch.root.rsplit("/", 1)[0]
+    scratch.drop("")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

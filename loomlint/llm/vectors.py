@@ -19,6 +19,7 @@ an empty result.  Recall is measured by the tests (at cosine 0.9 above 0.99 for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,13 @@ BUCKET, SEED = 1024, 11
 
 
 def plan(vectors: int, dim: int) -> tuple[int, int]:
-    """(tables, hashes) for a number of vectors: the fewest hashes whose buckets outnumber them twenty times."""
-    axes = 2 * max(2, 1 << (dim - 1).bit_length())
-    hashes = next((k for k in TABLES if axes**k >= 20 * vectors), max(TABLES))
-    return TABLES[hashes], hashes
+    """(tables, hashes) for a number of vectors: the fewest hashes whose buckets outnumber them twenty times.
+
+    Near vectors share their nearest axis less often among more axes, so wider vectors take more tables.
+    """
+    width = max(2, 1 << (dim - 1).bit_length())
+    hashes = next((k for k in TABLES if (2 * width) ** k >= 20 * vectors), max(TABLES))
+    return math.ceil(TABLES[hashes] * (1 + max(0, math.log2(width / 64)) / 2)), hashes
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

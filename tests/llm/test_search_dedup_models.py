@@ -234,15 +234,15 @@ def test_vector_links(spark, bucket, hashes):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("hashes", "least"), [(2, 0.997), (3, 0.997), (4, 0.997)])
-def test_recall_at_the_threshold(hashes, least):
+@pytest.mark.parametrize(("vectors_", "dim", "least"), [(500, 64, 0.997), (50_000, 64, 0.997), (10_000_000, 64, 0.997), (50_000, 384, 0.997)])
+def test_recall_at_the_threshold(vectors_, dim, least):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(4000, 64))
+    x = rng.normal(size=(4000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    tables = vectors.TABLES[hashes]
+    tables, hashes = vectors.plan(vectors_, dim)
     a, b = (vectors.buckets(v, tables, hashes) for v in (x, 0.9 * x + math.sqrt(1 - 0.81) * z))
     assert np.mean([np.intersect1d(p, q).size > 0 for p, q in zip(a, b, strict=True)]) > least
 
@@ -252,6 +252,7 @@ def test_more_vectors_take_more_hashes():
     assert vectors.plan(50_000, 64) == (12, 3)
     assert vectors.plan(10_000_000, 64) == (20, 4)
     assert vectors.plan(0, 1) == (8, 2)
+    assert vectors.plan(50_000, 384) == (20, 2)
 
 
 def test_top_k(spark):

@@ -306,3 +306,16 @@ def test_components(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     got = {r.node: r.root for r in _common.components(spark.createDataFrame(pairs, "a long, b long"), _common.Scratch(spark, "t")).collect()}
     assert got == {x: find(x) for x in linked}
+
+
+def test_scratch_tables(spark):
+    from pathlib import Path
+
+    scratch = _common.Scratch(spark, "t")
+    kept = scratch.keep(spark.range(5).toDF("x"), "a")
+    assert kept.count() == 5 and Path(scratch.root, "a", "_SUCCESS").exists()
+    scratch.drop("a")
+    assert not Path(scratch.root, "a").exists()
+    scratch.keep(spark.range(5).toDF("x"), "b")
+    _common.clear(spark)
+    assert not Path(scratch.root).exists()
