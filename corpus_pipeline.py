@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return one_of_each(docs)
+    """Of each group of near copies (fingerprints within 2 bits, or 5-word Jaccard similarity of 0.8) the smallest doc_id stays."""
+    return one_of_each(docs, similarity=0.8, words=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

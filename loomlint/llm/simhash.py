@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import resemblance
 from ._common import BROADCAST_ROWS, Scratch, Union, batch, components, grouped_batches, map_arrow
 
 BITS, WITHIN, FAN, NODE = 64, 2, 8, 1024
@@ -67,6 +68,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), run, "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, fp, and for resemblance.links h1, h2 and codes (none without words) of every row."""
+    schema = [("doc_id", pa.int64()), ("fp", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("codes", pa.list_(pa.int64()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(1)]
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            codes = [resemblance.buckets(s) if len(s) else [] for s in (resemblance.shingles(t, words) for t in texts)]
+            yield batch(schema, doc_id=b.column(0), fp=fp, h1=b.column(2), h2=b.column(3), codes=codes)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *resemblance.text_keys())
+    return map_arrow(rows, run, "doc_id long, fp long, h1 long, h2 long, codes array<long>")
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of a code word in the reflected Gray code: neighbours in this order tend to share patterns."""
     x = x.copy()
@@ -163,12 +179,18 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) of every row."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the component) of every row.
+
+    With a ``similarity`` texts link also if the Jaccard similarity of their sets of shingles of ``words`` reaches it.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(fingerprints(docs, shingle), "fingerprints")
+    rows = scratch.keep(fingerprints(docs, shingle) if similarity is None else sketches(docs, shingle, words), "fingerprints")
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(scratch.keep(links(classes.select("fp"), scratch), "links"), scratch)
+    found = links(classes.select("fp"), scratch)
+    if similarity is not None:
+        found = found.unionByName(resemblance.links(docs, rows, scratch, words, similarity))
+    roots = components(scratch.keep(found, "links"), scratch)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.keep(rooted, "rooted")
     # components of several fingerprints only; all others are their own
@@ -177,12 +199,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, once for each doc_id.
+def one_of_each(docs: DataFrame, shingle: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's smallest (see near_duplicates), once for each doc_id.
 
     Rows without doc_id cannot be told apart by it and stay.
     """
-    found = near_duplicates(docs, shingle)
+    found = near_duplicates(docs, shingle, similarity, words)
     scratch = Scratch(docs.sparkSession, "kept")
     # a doc_id that stands for different texts may have several components: it stays if any of them is its own
     by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"), F.count(F.lit(1)).alias("n"))

@@ -44,3 +44,13 @@ def test_run_is_the_stages_in_turn(spark, sf):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "simhash near-dedup", "substring dedup", "mixing sources", "best-fit packing"]
+
+
+def test_no_similar_texts_stay_after_near_dedup(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.near_dedup(spark, docs, sf).toPandas()
+    sets = []
+    for text in kept.text.dropna():
+        w = text.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    assert not [1 for n, a in enumerate(sets) for b in sets[:n] if a and len(a & b) >= 0.8 * len(a | b)]

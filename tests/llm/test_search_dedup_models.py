@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomlint.llm import language_model, quality, queries, simhash, substrings, token_counts, topk, vectors
+from loomlint.llm import language_model, quality, queries, resemblance, simhash, substrings, token_counts, topk, vectors
 from loomlint.llm._common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +98,36 @@ def test_near_duplicates_and_one_of_each(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [512, 4])
+def test_edited_copies_go_by_exact_similarity(spark, monkeypatch, size):
+    monkeypatch.setattr(resemblance, "BUCKET", size)  # small buckets are split into pairs of blocks
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(25):
+        base = prose(120 + 20 * family, 700 + family).split()
+        for n in range(6):
+            w = list(base)
+            for at in rng.integers(0, len(w), n * len(w) // 120).tolist():
+                w[at] = f"edit{family}x{n}y{at}"
+            rows.append((100 * family + n, " ".join(w)))
+    rows += [(5000, ""), (5001, None), (5002, "a b"), (None, rows[0][1]), (5003, rows[0][1].upper())]
+
+    def grams(text):
+        w = words_of(text)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    fine = [(i, fingerprint_by_hand(t), grams(t)) for i, t in rows if i is not None]
+    similar = [(a, b) for n, (a, _, s) in enumerate(fine) for b, _, t in fine[:n] if s and t and len(s & t) / len(s | t) >= 0.8]
+    close = [(a, b) for n, (a, x, _) in enumerate(fine) for b, y, _ in fine[:n] if (x ^ y).bit_count() <= 2]
+    assert len(set(similar) - set(close)) > 20
+    want = roots_of([i for i, _, _ in fine], similar + close)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, rows), similarity=0.8).collect()}
+    assert got == want | {None: 0}
+    kept = [r.doc_id for r in simhash.one_of_each(docs_of(spark, rows), similarity=0.8).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(want.values())) and kept.count(None) == 1
+    assert simhash.near_duplicates(docs_of(spark, rows).limit(0), similarity=0.8).count() == 0
+
+
 # -- substrings
 
 
