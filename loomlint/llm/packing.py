@@ -8,17 +8,20 @@ complement is placed best-fit, longest first.  The result is a list of patterns
 to pattern places by their rank among pieces of equal length, so no task or driver ever holds the pieces themselves.
 
 Defined cases: a null text is an empty one (only the closing id); repeated rows are packed separately; an empty table
-gives an empty result; other columns of the input are not carried.  Strings that name special tokens are ordinary text.
+gives an empty result; other columns of the input are not carried.  A string that names a special token of the
+vocabulary is that token, as the tokenizer's defaults have it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -33,18 +36,21 @@ CAPACITY = 2048
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """ids of a text by a vocabulary file: ranks (.tiktoken) or a tokenizer's JSON; both give the same ids."""
+    """ids of a text by a vocabulary file: ranks (.tiktoken, special tokens from a JSON of that name) or a tokenizer's JSON; both give the same ids."""
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    beside, special = Path(path).with_suffix(".json"), {}
+    if beside.exists():  # rank files do not name special tokens
+        special = {t["content"]: t["id"] for t in json.loads(beside.read_text("utf-8"))["added_tokens"]}
+    ids = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: ids.encode(text, allowed_special="all")
 
 
 def vocabulary() -> str:

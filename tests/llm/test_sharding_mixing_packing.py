@@ -222,6 +222,17 @@ def test_pieces_are_the_tokenizers_ids(spark, docs, tokenizer):
             at += r.length
 
 
+def test_special_tokens_are_those_of_the_tokenizers_defaults(spark):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y", "<|endoftext", "don't\u00a0stop 東京 <|endoftext|>é", "plain text  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (None, public_tokenizers.path("byte_bpe_50k.json")):
+        got = {r.doc_id: r.ids for r in packing.token_pieces(df, with_ids=True, path=path).collect()}
+        assert got == {i: [*default.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps, n = [], 0
     for x in sorted(lengths, reverse=True):
