@@ -4,8 +4,9 @@ A gear rolling hash over the UTF-8 bytes (16-bit, so its window is 16 bytes) end
 threshold, on average every ``AVERAGE`` bytes; an insertion shifts bytes but moves only the boundaries next to it.
 Chunks are deduplicated by digest across documents: the smallest doc_id that holds a chunk keeps it.  Single small
 chunks are common phrases, so only runs of consecutive repeated chunks of ``MIN_WORDS`` words or more count as repeated
-passages.  Boundaries fall again within a few words of a passage's ends; a passage of 50 words keeps a run well above
-that.
+passages.  What a passage has before its first boundary and after its last is not in its run, and may be most of it.  So
+a shorter run is extended byte by byte into its document's and its keeper's text, and counts if the two agree on
+``WHOLE`` words or more.  A passage without a whole chunk inside, or whose chunks all have other keepers, is not found.
 
 Defined cases: null and empty texts have no chunks; a null doc_id cannot be named and takes no part; rows with one
 doc_id count as one document; what a document repeats within itself only is left alone; an empty table gives an empty
@@ -22,9 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, batch, grouped_batches, map_arrow
+from ._common import Scratch, batch, bounded, grouped_batches, map_arrow
 
-AVERAGE, LARGEST, MIN_WORDS, WINDOW = 24, 256, 25, 16
+AVERAGE, LARGEST, MIN_WORDS, WINDOW, WHOLE = 24, 256, 25, 16, 50
+#: Bytes on each side that a short run is extended at most; past its neighbour chunks nothing can agree.
+REACH = 2 * LARGEST
 #: A pseudorandom 16-bit value for each byte.
 GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256).astype(np.uint16)
 _SPACE = np.zeros(256, bool)
@@ -58,8 +61,9 @@ def cut_points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, size (bytes), words, digest (64-bit) of every chunk of every text."""
-    schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("words", pa.int32()), ("digest", pa.int64())]
+    """doc_id, start, size (bytes), words, around (words of the chunk before, and 1,000 times those of the next), digest
+    (64-bit) of every chunk of every text."""
+    schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("words", pa.int32()), ("around", pa.int32()), ("digest", pa.int64())]
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +87,14 @@ def chunks(docs: DataFrame) -> DataFrame:
                 at = points.tolist()
                 digests = np.array([digest(data[i:j]) for i, j in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
                 own = np.searchsorted(starts, points[:-1], side="right") - 1
-                yield batch(schema, doc_id=ids[own], start=points[:-1] - starts[own], size=np.diff(points).astype(np.int32), words=words, digest=digests)
+                same = own[1:] == own[:-1]
+                around = np.zeros(len(own), np.int32)
+                around[1:] += words[:-1] * same
+                around[:-1] += 1000 * words[1:] * same
+                yield batch(schema, doc_id=ids[own], start=points[:-1] - starts[own], size=np.diff(points).astype(np.int32), words=words, around=around, digest=digests)
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return map_arrow(texts, run, "doc_id long, start long, size int, words int, digest long")
+    return map_arrow(texts, run, "doc_id long, start long, size int, words int, around int, digest long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,11 +110,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = scratch.keep(every.join(keepers, "digest").where("doc_id <> keep").drop("digest"), "repeated")
     scratch.drop("chunks")
     scratch.drop("keepers")
-    schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("words", pa.int64()), ("keep_doc_id", pa.int64())]
+    schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("words", pa.int64()), ("keep_doc_id", pa.int64()), ("short", pa.bool_())]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, ["doc_id"]):
-            doc, start, size, words, keep = (table.column(c).to_numpy() for c in ("doc_id", "start", "size", "words", "keep"))
+            doc, start, size, words, around, keep = (table.column(c).to_numpy() for c in ("doc_id", "start", "size", "words", "around", "keep"))
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + size[:-1])
             first = np.flatnonzero(new)
@@ -115,10 +123,68 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             long = np.flatnonzero(total >= min_words)
             best = [int(first[i] + np.argmax(size[first[i] : last[i]])) for i in long.tolist()]
             f, e = first[long], last[long] - 1
-            yield batch(schema, doc_id=doc[f], start=start[f], size=start[e] + size[e] - start[f], words=total[long], keep_doc_id=keep[best] if best else keep[:0])
+            yield batch(schema, doc_id=doc[f], start=start[f], size=start[e] + size[e] - start[f], words=total[long], keep_doc_id=keep[best] if best else keep[:0], short=np.zeros(len(f), bool))
+            # short runs that may be whole with their neighbour chunks: the longest chunk of each keeper
+            room = total + around[first] % 1000 + around[last - 1] // 1000
+            rows = []
+            for i in np.flatnonzero((total < min_words) & (room >= WHOLE)).tolist():
+                at: dict[int, int] = {}
+                for c in range(int(first[i]), int(last[i])):
+                    if keep[c] not in at or size[c] > size[at[keep[c]]]:
+                        at[int(keep[c])] = c
+                rows += at.values()
+            if rows:
+                yield batch(schema, doc_id=doc[rows], start=start[rows], size=size[rows].astype(np.int64), words=words[rows].astype(np.int64), keep_doc_id=keep[rows], short=np.ones(len(rows), bool))
 
     dealt = again.repartition("doc_id").sortWithinPartitions("doc_id", "start", "size")
-    return map_arrow(dealt.select("doc_id", "start", "size", "words", "keep"), runs, "doc_id long, start long, size long, words long, keep_doc_id long")
+    ddl = "doc_id long, start long, size long, words long, keep_doc_id long"
+    found = scratch.keep(map_arrow(dealt.select("doc_id", "start", "size", "words", "around", "keep"), runs, f"{ddl}, short boolean"), "runs")
+    scratch.drop("repeated")
+    names = ["doc_id", "start", "size", "words", "keep_doc_id"]
+    return found.where("not short").select(*names).unionByName(extended(docs, scratch.keep(found.where("short").select(*names), "short"), scratch))
+
+
+def agreement(mine: bytes, at: int, size: int, other: bytes) -> tuple[int, int, int]:
+    """(start, size, words) of the longest passage around mine[at:at+size] that ``other`` has too."""
+    best, seed = (at, 0, 0), mine[at : at + size]
+    place = other.find(seed) if seed else -1
+    while place >= 0:
+        lo, hi = 0, size
+        while lo < at and lo < place and mine[at - lo - 1] == other[place - lo - 1]:
+            lo += 1
+        while at + hi < len(mine) and place + hi < len(other) and mine[at + hi] == other[place + hi]:
+            hi += 1
+        if lo + hi > best[1]:
+            best = (at - lo, lo + hi, len(mine[at - lo : at + hi].split()))
+        place = other.find(seed, place + 1)
+    return best
+
+
+def extended(docs: DataFrame, short: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``short`` (a written table of chunks: doc_id, start, size, words, keep_doc_id) the passages around them that hold ``WHOLE`` words."""
+    n = short.count()
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    at = F.greatest(F.col("start") - REACH, F.lit(0))
+    window = F.substring("text", (at + 1).cast("int"), (F.col("start") - at + F.col("size") + REACH).cast("int"))
+    near = texts.join(bounded(short, n), "doc_id").select("doc_id", at.alias("from"), (F.col("start") - at).alias("at"), "size", F.col("keep_doc_id").alias("keep"), window.alias("mine"))
+    near = scratch.keep(near, "windows")
+    keepers = short.select(F.col("keep_doc_id").alias("doc_id")).distinct()
+    keepers = texts.join(bounded(keepers, n), "doc_id", "left_semi").select(F.col("doc_id").alias("keep"), F.col("text").alias("other"))
+    schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("words", pa.int64()), ("keep_doc_id", pa.int64())]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, begin, at, size, keep, mine, other in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                start, length, words = agreement(mine, at, size, other)
+                if words >= WHOLE:
+                    rows.append((doc_id, begin + start, length, words, keep))
+            yield batch(schema, **{name: [r[i] for r in rows] for i, (name, _) in enumerate(schema)})
+
+    joined = near.join(keepers, "keep").select("doc_id", "from", "at", "size", "keep", "mine", "other")
+    found = map_arrow(joined, extend, "doc_id long, start long, size long, words long, keep_doc_id long")
+    # a passage may be met through several chunks and keepers
+    return found.groupBy("doc_id", "start").agg(F.max(F.struct("size", "words", "keep_doc_id")).alias("r")).select("doc_id", "start", "r.*")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

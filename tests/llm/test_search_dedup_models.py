@@ -170,6 +170,25 @@ def test_repeated_passages_are_caught_and_clean_texts_are_not(spark):
     assert substrings.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_passages_whose_ends_hold_most_of_them_are_found(spark):
+    # long stretches without a boundary at both ends, and at least one whole chunk between
+    rows, want, n = [], set(), 0
+    for i in range(2000):
+        p = " ".join(w[:5] for w in prose(51, 3000 + i).split())
+        points = substrings.cut_points(np.frombuffer(p.encode(), np.uint8), np.array([0]))[1:-1]
+        if len(points) >= 2 and len(p.encode()[points[0] : points[-1]].split()) < 22:
+            rows += [(2 * n, f"{prose(60, 9000 + i)} {p} {prose(30, 12000 + i)}"), (2 * n + 1, f"{prose(25, 15000 + i)} {p} {prose(20, 18000 + i)}")]
+            want.add(2 * n + 1)
+            n += 1
+    assert n >= 3
+    got = substrings.repeated_spans(docs_of(spark, rows)).collect()
+    assert {r.doc_id for r in got} == want
+    texts = dict(rows)
+    for r in got:
+        span = texts[r.doc_id].encode()[r.start : r.start + r.size]
+        assert r.keep_doc_id == r.doc_id - 1 and span in texts[r.keep_doc_id].encode() and len(span.split()) >= 25
+
+
 def test_whole_copies(spark):
     text = prose(120, 1)
     got = substrings.repeated_spans(docs_of(spark, [(4, text), (2, text), (2, text), (9, text)])).collect()
