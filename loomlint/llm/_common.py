@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlint.session import ship_package
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only in local mode, where the session names no spark.checkpoint.dir, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/loomlint"
 #: A table of at most so many slim rows (16 to 64 bytes each) may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -42,7 +42,11 @@ class Scratch:
         self.spark = spark
         ship_package(spark)
         small_batches(spark)
-        root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = LOCAL_SCRATCH
         self.root = f"{root.rstrip('/')}/loomlint/{what}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -91,26 +95,51 @@ def literal_table(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> Da
     )
 
 
+#: Cells of a group that are ordered together: the window over cells has two levels, so that no task orders all of them.
+CELLS_TOGETHER = 64
+#: Copies of a row that are enumerated in one go; longer runs are cut, and dealt out again, before they are enumerated.
+RUN = 10_000
+
+
+def counted_classes(df: DataFrame, copies: str = "copies") -> DataFrame:
+    """Wholly equal rows as one, with their number: partial counts meet before the shuffle, so copies never fill a task."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
+
+
+def enumerated(df: DataFrame, first: Column, end: Column, out: str, longest: int) -> DataFrame:
+    """A row for each integer from ``first`` up to ``end`` (excluded), as ``out``; no row spans more than ``longest``."""
+    if longest <= RUN:
+        return df.withColumn(out, F.explode(F.sequence(first, end - 1)))
+    runs = df.withColumn("_end", end).withColumn("_run", F.explode(F.sequence(first, end - 1, F.lit(RUN).cast("long"))))
+    dealt = runs.repartition(partitions(df.sparkSession), F.xxhash64(*df.columns, "_run"))
+    return dealt.withColumn(out, F.explode(F.sequence("_run", F.least("_end", F.col("_run") + RUN) - 1))).drop("_end", "_run")
+
+
 def running_offsets(df: DataFrame, group: str, order: Sequence[Column | str], weight: Column | str, out: str = "start") -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows that stand before a row in its group.
 
-    A group of any size is dealt out to cells by a hash of ``order``; rows are ordered by that hash within a cell and
-    cells follow each other.  The order is pseudorandom but fixed by the values; rows alike in ``order`` and group are
-    interchangeable.  ``df`` is read three times, so hand over a written table.  ``group`` must not be null.
+    Rows are ordered by a hash of ``order``, which is pseudorandom but fixed by the values.  A group of any size is cut
+    into cells, which are ranges of that hash; so their number, which follows the rows and the session's partitions,
+    does not change the order.  Rows alike in ``order`` and group share a cell: count them first (``counted_classes``)
+    if there can be many.  ``df`` is read three times, so hand over a written table.  ``group`` must not be null.
     """
     spark = df.sparkSession
     width = partitions(spark)
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     groups, rows = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
     cell_rows = max(1, min(50_000, -(-(rows or 0) // (4 * width))))
-    hashed = df.withColumn("_h", F.xxhash64(*order))
-    celled = hashed.join(bounded(counts, groups), group).withColumn("_cell", F.pmod(F.col("_h"), F.ceil(F.col("_n") / F.lit(cell_rows)))).drop("_n")
-    w = celled.withColumn("_w", F.lit(weight) if not isinstance(weight, str) else F.col(weight))
-    sums = w.groupBy(group, "_cell").agg(F.sum("_w").alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(group, "_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(group, "_cell").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = w.withColumn("_in", F.coalesce(F.sum("_w").over(within), F.lit(0)))
+    # 2^bits cells in a group, some cell_rows rows each
+    bits = F.greatest(F.ceil(F.log2(F.col("_n") / F.lit(cell_rows))), F.lit(0)).cast("int")
+    hashed = df.withColumn("_h", F.xxhash64(*order)).join(bounded(counts, groups), group).withColumn("_bits", bits).drop("_n")
+    cell = F.when(F.col("_bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftright(_h, 64 - _bits)"))
+    w = hashed.withColumn("_cell", cell).drop("_bits").withColumn("_w", F.lit(weight) if not isinstance(weight, str) else F.col(weight))
+    sums = w.groupBy(group, "_cell").agg(F.sum("_w").alias("_sum")).withColumn("_some", F.floor(F.col("_cell") / F.lit(CELLS_TOGETHER)))
+    up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    some = sums.groupBy(group, "_some").agg(F.sum("_sum").alias("_all"))
+    some = some.select(group, "_some", F.coalesce(F.sum("_all").over(up_to(group).orderBy("_some")), F.lit(0)).alias("_before"))
+    base = sums.withColumn("_own", F.coalesce(F.sum("_sum").over(up_to(group, "_some").orderBy("_cell")), F.lit(0))).join(some, [group, "_some"])
+    base = base.select(group, "_cell", (F.col("_before") + F.col("_own")).alias("_base"))
+    ranked = w.withColumn("_in", F.coalesce(F.sum("_w").over(up_to(group, "_cell").orderBy("_h", *order)), F.lit(0)))
     return ranked.join(base, [group, "_cell"]).withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_h", "_cell", "_w", "_in", "_base")
 
 

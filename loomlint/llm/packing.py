@@ -7,8 +7,9 @@ combination that fills the gap exactly is consumed as often as the available cou
 complement is placed best-fit, longest first.  The result is a list of patterns with multiplicities; pieces are dealt
 to pattern places by their rank among pieces of equal length, so no task or driver ever holds the pieces themselves.
 
-Defined cases: a null text is an empty one (only the closing id); repeated rows are packed separately; an empty table
-gives an empty result; other columns of the input are not carried.  A string that names a special token of the
+Defined cases: a null text is an empty one (only the closing id); repeated rows are packed separately, each in a place
+of its own; a text with a run of spaces that the fast encoder cannot take is encoded by the tokenizer's JSON; an empty
+table gives an empty result; other columns of the input are not carried.  A string that names a special token of the
 vocabulary is that token, as the tokenizer's defaults have it.
 """
 
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, batch, literal_table, map_arrow, running_offsets
+from ._common import Scratch, batch, counted_classes, enumerated, literal_table, map_arrow, running_offsets
 
 CAPACITY = 2048
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def encoder(path: str):
     """ids of a text by a vocabulary file: ranks (.tiktoken, special tokens from a JSON of that name) or a tokenizer's JSON; both give the same ids."""
     if path.endswith(".json"):
@@ -50,7 +51,16 @@ def encoder(path: str):
     if beside.exists():  # rank files do not name special tokens
         special = {t["content"]: t["id"] for t in json.loads(beside.read_text("utf-8"))["added_tokens"]}
     ids = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: ids.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return ids.encode(text, allowed_special="all")
+        except BaseException as e:  # its pattern gives up on very long runs of spaces; some versions raise a kind of their own
+            if not (isinstance(e, ValueError) or type(e).__name__ == "PanicException") or not beside.exists():
+                raise
+            return encoder(str(beside))(text)
+
+    return encode
 
 
 def vocabulary() -> str:
@@ -185,26 +195,30 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
-    """``pieces`` (a written table with a ``length`` of at most ``capacity``) with sequence_id and offset."""
-    spark = pieces.sparkSession
-    histogram = dict(pieces.groupBy("length").count().collect())  # at most `capacity` rows
+def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (any columns, and a ``length`` of at most ``capacity``) with sequence_id and offset.
+
+    Wholly equal pieces are one row with their number until they have their places.
+    """
+    classes = scratch.keep(counted_classes(pieces, "_copies"), "classes")
+    histogram, most = {}, 0
+    for length, n, copies in classes.groupBy("length").agg(F.sum("_copies"), F.max("_copies")).collect():  # at most `capacity` rows
+        histogram[length], most = n, max(most, copies)
     if not histogram:
-        return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    table = literal_table(spark, places(plan_packing(histogram, capacity)), "length bigint, lo bigint, hi bigint, first bigint, offset bigint")
-    ranked = running_offsets(pieces, "length", list(order), 1, "_rank")
+        return classes.drop("_copies").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    table = literal_table(pieces.sparkSession, places(plan_packing(histogram, capacity)), "length bigint, lo bigint, hi bigint, first bigint, offset bigint")
+    ranked = running_offsets(classes, "length", pieces.columns, "_copies", "_rank")
     # the places are bounded by the capacity: a few for each length and pattern class, whatever the number of pieces
-    return (
-        ranked.join(F.broadcast(table), "length")
-        .where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-        .withColumn("sequence_id", F.col("first") + F.col("_rank") - F.col("lo"))
-        .drop("_rank", "lo", "hi", "first")
-    )
+    end = F.col("_rank") + F.col("_copies")
+    met = ranked.join(F.broadcast(table), "length").where((F.col("_rank") < F.col("hi")) & (end > F.col("lo")))
+    met = met.withColumns({"_lo": F.greatest("_rank", "lo"), "_hi": F.least(end, "hi")}).drop("_rank", "_copies")
+    placed = enumerated(met, F.col("_lo"), F.col("_hi"), "_at", most)
+    return placed.withColumn("sequence_id", F.col("first") + F.col("_at") - F.col("lo")).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pack")
-    return pack(scratch.keep(token_pieces(docs, capacity, path=path), "pieces"), capacity)
+    return pack(token_pieces(docs, capacity, path=path), scratch, capacity)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ What the driver sees is one count per arc (shards x vnodes rows); rows themselve
 arc, which is computed in cells of bounded size.
 
 Defined cases: a null key hashes like any value, and its rows are spread by their other columns; wholly equal rows are
-counted before they are dealt and get separate slots; a null text has no bytes (size 1, checksum 0); an empty table
+counted before they are dealt and get separate slots, long runs of them in parts; a null text has no bytes (size 1, checksum 0); an empty table
 gives an empty result; other columns of the input are not carried.
 """
 
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, literal_table, running_offsets
+from ._common import Scratch, counted_classes, enumerated, literal_table, running_offsets
 
 SLOTS = 65_536
 
@@ -72,7 +72,8 @@ def ring_shards(df: DataFrame, key: str, ties: list[str], shards: int = 16, vnod
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "ring")
     cols = [key, *ties]
-    rows = scratch.keep(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies")), "rows")
+    rows = scratch.keep(counted_classes(df.select(*cols)), "rows")
+    most = rows.agg(F.max("copies")).first()[0] or 0
     points = ring_points(shards, vnodes)
     owners = [s for _, s in points]
     arcs, lo = [], 0
@@ -94,12 +95,9 @@ def ring_shards(df: DataFrame, key: str, ties: list[str], shards: int = 16, vnod
     moves_df = F.broadcast(literal_table(spark, moves, "arc int, lo bigint, hi bigint, shard int, first bigint"))
     ranked = running_offsets(placed, "arc", cols, "copies")
     end = F.col("start") + F.col("copies")
-    return (
-        ranked.join(moves_df, "arc")
-        .where((F.col("start") < F.col("hi")) & (end > F.col("lo")))
-        .select(*cols, "shard", (F.col("first") - F.col("lo")).alias("_to"), F.explode(F.sequence(F.greatest("start", "lo"), F.least(end, "hi") - 1)).alias("_rank"))
-        .select(*cols, "shard", (F.col("_rank") + F.col("_to")).cast("long").alias("slot"))
-    )
+    met = ranked.join(moves_df, "arc").where((F.col("start") < F.col("hi")) & (end > F.col("lo")))
+    met = met.select(*cols, "shard", (F.col("first") - F.col("lo")).alias("_to"), F.greatest("start", "lo").alias("_lo"), F.least(end, "hi").alias("_hi"))
+    return enumerated(met, F.col("_lo"), F.col("_hi"), "_rank", most).select(*cols, "shard", (F.col("_rank") + F.col("_to")).cast("long").alias("slot"))
 
 
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
