@@ -1,21 +1,23 @@
 """Mixing sources to target weights.
 
-The words of a source form one stream, which is packed into blocks of a fixed length.  Each output shard draws how many
-of its slots every source fills from a multinomial; draws are conditioned on the exact totals, so a source's slots add
-up to its target.  Slot k of a source maps through a pseudorandom permutation of the source's block numbers (a new one
-for each pass over the blocks), and the blocks are then joined by number.
+The words of a source form one stream, which is packed into blocks of a fixed length (``block_words``; what is left at
+the end of the stream is one shorter block).  Each output shard draws how many of its slots every source fills from a
+multinomial; draws are conditioned on the exact totals, so a source's slots add up to its target.  Slot k of a source
+maps through a pseudorandom permutation of the source's whole blocks (a new one for each pass over them; the shorter
+block ends a pass), and the blocks are then joined by number.  A source's last slot takes only the first words of its
+block, as many as the target still lacks, so targets are met to the word, by small sources too.
 
 Targets: sources share all words by weight; none gets more than ``max_repeats`` times its own words, and the excess is
 reshared by weight among the rest.  A block is taken at most once more than any other block of its source, so no
-document is taken more than ``max_repeats`` times.
+document is taken more than ``max_repeats`` times (rounded up, if that is not a whole number).
 
 The driver holds one row per source (a mixture names a weight for each) and one count per source and output shard.
 Everything that grows with the corpus (stream offsets, slots, blocks) stays distributed.
 
 Defined cases: a null source is a source of its own, last in order; a null or empty text has no words and is taken 0
-times; equal rows are separate parts of the stream; a source without words gets no slots; an empty table gives an
-empty result.  Blocks of a source with fewer than 512 blocks' worth of words are shorter, so that small sources meet
-their targets too.  The same rows, parameters and seed give the same mixture.
+times; a null doc_id is a value like any other; equal rows are counted, and are separate parts of the stream; a source
+without words gets no slots; an empty table gives an empty result.  The same rows, parameters and seed give the same
+mixture, whatever the session's partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch, literal_table, partitions, running_offsets
+from ._common import WORD, Scratch, counted_classes, enumerated, literal_table, partitions, running_offsets
 
 
 class Source(NamedTuple):
@@ -37,9 +39,10 @@ class Source(NamedTuple):
     words: int
     weight: int
     target: float
-    block_words: int
-    blocks: int
+    full: int  # whole blocks
+    blocks: int  # and the shorter one at the end
     slots: int
+    last: int  # words that the last slot takes
 
 
 def water_fill(words: Sequence[int], weights: Sequence[float], max_repeats: float) -> list[float]:
@@ -62,10 +65,12 @@ def plan_sources(sizes: Sequence[tuple[str | None, int]], cycle: Sequence[int] =
     targets = water_fill([n for _, n in ordered], weights, max_repeats)
     out = []
     for i, ((name, n), w, t) in enumerate(zip(ordered, weights, targets, strict=True)):
-        length = max(1, min(block_words, n // 512))
-        blocks = -(-n // length)
-        slots = min(round(t * blocks / n), int(max_repeats * blocks)) if n else 0
-        out.append(Source(i, name, n, w, t, length, blocks, slots))
+        full, blocks = n // block_words, -(-n // block_words)
+        passes, rest = divmod(min(round(t), int(max_repeats * n)), n) if n else (0, 0)
+        slots = passes * blocks + -(-rest // block_words)
+        # in a broken pass the whole blocks come first, so all its slots but the last are whole; else a pass ends with its last block
+        last = rest - (-(-rest // block_words) - 1) * block_words if rest else n - (blocks - 1) * block_words
+        out.append(Source(i, name, n, w, t, full, blocks, slots, last))
     return out
 
 
@@ -120,92 +125,129 @@ def block_permutation(seed: int):
 
 class Mixture(NamedTuple):
     sources: list[Source]
-    docs: DataFrame  # doc_id, source_id, size, copies of the row, start (null without words)
-    slots: DataFrame  # shard, source_id, slot, turn, block
-    pieces: DataFrame  # source_id, block, doc_id, start, from_word, words
+    docs: DataFrame  # key, source_id, size, source_size, target, copies of the row, start (of this copy; null without words)
+    slots: DataFrame  # shard, source_id, slot, turn, block, upto (words of the block that the slot takes)
+    pieces: DataFrame  # source_id, block, key, start, from_word (in the document), at (in the block), words
+    longest: int  # the most copies of a row
 
 
-def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max_repeats: float = 3.0, block_words: int = 64, shards: int = 64, seed: int = 20) -> Mixture | None:
-    """Plan a mixture of ``docs`` (doc_id, source, text); None if there are no words."""
+def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max_repeats: float = 3.0, block_words: int = 64, shards: int = 64, seed: int = 20, key: Sequence[str] = ("doc_id",)) -> Mixture | None:
+    """Plan a mixture of ``docs`` (the columns of ``key``, source, text); None if there are no words.
+
+    Rows alike in key, source and number of words are interchangeable.
+    """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = scratch.keep(docs.select("doc_id", named.alias("named"), size.alias("size")), "sized")
-    totals = [(k[1:] if k[0] == "s" else None, int(n)) for k, n in sized.groupBy("named").agg(F.sum("size")).collect()]  # a row per source
-    sources = plan_sources(totals, cycle, max_repeats, block_words)
+    sized = scratch.keep(counted_classes(docs.select(*key, named.alias("named"), size.alias("size"))), "sized")
+    groups = sized.groupBy("named").agg(F.sum(F.col("size") * F.col("copies")), F.max("copies")).collect()  # a row per source
+    sources = plan_sources([(k[1:] if k[0] == "s" else None, int(n)) for k, n, _ in groups], cycle, max_repeats, block_words)
+    longest = max((m for _, _, m in groups), default=0)
     counts = draw_counts(sources, shards, seed)
     if not counts:
         return None
-    names = [["n" if s.name is None else f"s{s.name}", s.source_id, s.block_words, s.blocks, s.words, s.target] for s in sources]
-    table = literal_table(spark, names, "named string, source_id int, block_words int, blocks bigint, source_size bigint, target double")
-    table = F.broadcast(table) if len(names) <= 10_000 else table
-    known = scratch.keep(sized.join(table, "named").drop("named"), "known")
-    scratch.drop("sized")
-    placed = running_offsets(known.where("size > 0"), "source_id", ["doc_id", "size"], "size")
+    names = [["n" if s.name is None else f"s{s.name}", s.source_id, s.full, s.blocks, s.slots, s.last, s.words, s.target] for s in sources]
+    table = literal_table(spark, names, "named string, source_id int, full bigint, blocks bigint, slots bigint, last bigint, source_size bigint, target double")
+    small = lambda df: F.broadcast(df) if len(names) <= 10_000 else df
+    known = sized.join(small(table.select("named", "source_id", "source_size", "target")), "named").drop("named")
+    weighed = known.where("size > 0").withColumn("_all", F.col("size") * F.col("copies"))
+    placed = enumerated(running_offsets(weighed, "source_id", [*key, "size"], "_all", "_first"), F.lit(0).cast("long"), F.col("copies"), "_copy", longest)
+    placed = placed.withColumn("start", F.col("_first") + F.col("_copy") * F.col("size")).drop("_first", "_copy", "_all")
     placed = scratch.keep(placed, "placed")
-    none = known.where("size = 0").withColumn("start", F.lit(None).cast("long"))
-    length, last = F.col("block_words"), F.col("start") + F.col("size") - 1
-    pieces = placed.select("doc_id", "source_id", "start", "size", "block_words", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor(last / length))).alias("block"))
+    none = enumerated(known.where("size = 0"), F.lit(0).cast("long"), F.col("copies"), "_copy", longest).withColumn("start", F.lit(None).cast("long")).drop("_copy")
+    length, last = F.lit(block_words), F.col("start") + F.col("size") - 1
+    pieces = placed.select(*key, "source_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor(last / length))).alias("block"))
     lo = F.greatest(F.col("block") * length, F.col("start"))
     hi = F.least((F.col("block") + 1) * length, F.col("start") + F.col("size"))
-    pieces = pieces.select("source_id", "block", "doc_id", "start", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("words"))
+    pieces = pieces.select("source_id", "block", *key, "start", (lo - F.col("start")).alias("from_word"), (lo - F.col("block") * length).alias("at"), (hi - lo).alias("words"))
     drawn = literal_table(spark, counts, "shard int, source_id int, first bigint, n bigint").repartition("shard", "source_id")
-    drawn = drawn.join(F.broadcast(table.select("source_id", "blocks")) if len(names) <= 10_000 else table.select("source_id", "blocks"), "source_id")
+    drawn = drawn.join(small(table.select("source_id", "full", "blocks", F.col("slots").alias("_slots"), "last")), "source_id")
     # long runs are cut before they are spread, so that no task enumerates a source alone
-    run = 50_000
+    run, total = 50_000, sum(s.slots for s in sources)
     runs = drawn.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / run))).alias("_run"))
-    wide = max(partitions(spark), sum(s.slots for s in sources) // 1_000_000 + 1)
+    wide = max(min(partitions(spark), total // run + 1), total // 1_000_000 + 1)
     runs = runs.repartition(wide, "shard", "source_id", "_run")
-    slots = runs.select("shard", "source_id", "blocks", F.explode(F.sequence(F.col("first") + F.col("_run") * run, F.col("first") + F.least(F.col("n"), (F.col("_run") + 1) * run) - 1)).alias("slot"))
+    slots = runs.select("*", F.explode(F.sequence(F.col("first") + F.col("_run") * run, F.col("first") + F.least(F.col("n"), (F.col("_run") + 1) * run) - 1)).alias("slot"))
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")))
     index = F.col("slot") - F.col("turn") * F.col("blocks")
-    slots = slots.select("shard", "source_id", "slot", "turn", block_permutation(seed)(index, F.col("blocks"), F.col("source_id"), F.col("turn")).alias("block"))
+    upto = F.when(F.col("slot") == F.col("_slots") - 1, F.col("last")).otherwise(F.lit(block_words)).cast("long")
+    # whole blocks are permuted; the shorter one keeps its place at the end of a pass
+    block = F.when(F.col("_at") < F.col("full"), block_permutation(seed)(F.col("_at"), F.greatest("full", F.lit(1).cast("long")), F.col("source_id"), F.col("turn"))).otherwise(F.col("full"))
+    slots = slots.withColumn("_at", index).select("shard", "source_id", "slot", "turn", block.alias("block"), upto.alias("upto"))
     slots = scratch.keep(slots, "slots")  # written: the planner takes an exploded literal for a tiny table, and would broadcast it
-    return Mixture(sources, placed.unionByName(none), slots, pieces)
+    return Mixture(sources, placed.unionByName(none), slots, pieces, longest)
+
+
+#: Words of a piece that a slot takes.
+_TAKEN = "greatest(0L, least(words, upto - at))"
 
 
 def taken_words(mixture: Mixture) -> DataFrame:
-    """Per document row: doc_id, size, source_size, target, taken (words the mixture takes, repeats counted)."""
-    times = mixture.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
-    took = mixture.pieces.join(times, ["source_id", "block"]).groupBy("source_id", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    """Per document row: its key, size, source_size, target, taken (words the mixture takes, repeats counted)."""
+    times = mixture.slots.groupBy("source_id", "block", "upto").agg(F.count(F.lit(1)).alias("times"))
+    took = mixture.pieces.join(times, ["source_id", "block"]).groupBy("source_id", "start").agg(F.sum(F.expr(_TAKEN) * F.col("times")).alias("taken"))
     docs = mixture.docs.join(took, ["source_id", "start"], "left")
-    return docs.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return docs.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("source_id", "start", "copies")
+
+
+def _one_of_each(docs: DataFrame, mixture: Mixture, key: Sequence[str]) -> DataFrame:
+    """``docs`` with one row for each key; rows that occur once are not shuffled for it."""
+    if mixture.longest <= 1:
+        return docs
+    several = mixture.docs.where("copies > 1").select(*key).distinct()
+    return docs.join(several, list(key), "left_anti").unionByName(docs.join(several, list(key), "left_semi").dropDuplicates(list(key)))
 
 
-def mixed_blocks(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """The mixture's output: shard, source_id, slot, turn, block, part, doc_id, text (the words of the block that come from
-    the document, joined by spaces).  ``docs`` has the rows that were mixed, doc_id unique."""
-    words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    text = F.array_join(F.slice(words, (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " ")
-    parts = mixture.pieces.join(docs.select("doc_id", "text"), "doc_id").select("source_id", "block", "start", "doc_id", text.alias("text"))
-    return mixture.slots.join(parts, ["source_id", "block"])
+def _row_key(docs: DataFrame) -> list:
+    """Two hashes of a whole row, that tell nulls from each other's columns: rows alike in them are equal."""
+    flags = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*cols, *flags).alias("_k1"), F.hash(*reversed(cols), *flags).alias("_k2")]
+
+
+def _words(text: str):
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+
+
+def mixed_blocks(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """The mixture's output: shard, source_id, slot, turn, block, start, doc_id, text (the words of the block that come
+    from the document, joined by spaces)."""
+    keyed = docs.select("*", *_row_key(docs))
+    mixture = mix(keyed, scratch, key=("_k1", "_k2"), **options)
+    if mixture is None:
+        empty = F.lit(0).cast("long")
+        return docs.limit(0).select(F.lit(0).alias("shard"), F.lit(0).alias("source_id"), empty.alias("slot"), empty.alias("turn"), empty.alias("block"), empty.alias("start"), "doc_id", "text")
+    texts = _one_of_each(keyed.select("_k1", "_k2", "doc_id", "text"), mixture, ("_k1", "_k2"))
+    parts = mixture.pieces.join(texts, ["_k1", "_k2"]).withColumn("_part", F.slice(_words("text"), (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")))
+    cut = mixture.slots.join(parts, ["source_id", "block"]).withColumn("_n", F.expr(_TAKEN)).where("_n > 0")
+    text = F.array_join(F.slice("_part", F.lit(1), F.col("_n").cast("int")), " ")
+    return cut.select("shard", "source_id", "slot", "turn", "block", "start", "doc_id", text.alias("text"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as documents: a row for each document and pass over its source that takes words of it.
+    """The mixture as documents: a row for each document row and pass over its source that takes words of it.
 
     A pass that takes all words keeps the text as it is; else the words taken stand in their order, joined by spaces.
-    Columns are those of ``docs`` (n_chars is set anew); doc_id is unique there, or rows with one doc_id and as many
-    words share each other's passes.
+    Columns are those of ``docs`` (n_chars is set anew).  Rows are told apart by all their columns, so a null or repeated
+    doc_id is no matter, and of equal rows each has its own passes.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
-    mixture = mix(docs, scratch, **options)
+    key = ["_k1", "_k2"]
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_row_key(docs))  # a struct, so that no name can clash
+    mixture = mix(keyed.select(*key, "_row.source", "_row.text"), scratch, key=key, **options)
     if mixture is None:
         return docs.limit(0)
-    parts = mixture.slots.select("source_id", "block", "turn").join(mixture.pieces, ["source_id", "block"])
+    parts = mixture.slots.select("source_id", "block", "turn", "upto").join(mixture.pieces, ["source_id", "block"])
+    parts = parts.withColumn("words", F.expr(_TAKEN)).where("words > 0")
     part = F.struct("from_word", "words")
-    taken = parts.groupBy("source_id", "start", "doc_id", "turn").agg(F.sum("words").alias("_n"), F.array_sort(F.collect_list(part)).alias("_parts"))  # of one document
-    sizes = mixture.docs.where("size > 0").select("source_id", "start", "size")
-    taken = taken.join(sizes, ["source_id", "start"]).select("doc_id", "_n", "_parts", F.col("size").alias("_size"))
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    both = docs.withColumn("_size", count).join(taken, ["doc_id", "_size"])
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    cut = both.withColumn("_words", F.when(F.col("_n") < F.col("_size"), words))
+    taken = parts.groupBy("source_id", "start", *key, "turn").agg(F.sum("words").alias("_n"), F.array_sort(F.collect_list(part)).alias("_parts"))  # of one document
+    text, count = F.col("_row.text"), F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0))
+    both = _one_of_each(keyed, mixture, key).join(taken.select(*key, "_n", "_parts"), key).withColumn("_whole", F.col("_n") == count)
+    cut = both.withColumn("_words", F.when(~F.col("_whole"), _words("_row.text")))
     some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    out = cut.withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = cut.withColumn("_text", F.when(F.col("_whole"), text).otherwise(some))
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +257,4 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     if mixture is None:
         size = F.lit(0).cast("long")
         return docs.select("doc_id", size.alias("size"), size.alias("source_size"), F.lit(0.0).alias("target"), size.alias("taken"))
-    return taken_words(mixture)
+    return taken_words(mixture).select("doc_id", "size", "source_size", "target", "taken")

@@ -163,32 +163,108 @@ def test_slots_take_each_block_evenly(spark, docs):
             assert sum(counts) == s.slots and max(counts) - min(counts) <= 1
 
 
+def by_hand(sized, block_words, shards=64, seed=20):
+    """The words that each document row (doc_id, source, size) gives, word by word, for rows that are all different."""
+    totals = Counter()
+    for _i, s, n in sized:
+        totals[s] += n
+    sources = mixing.plan_sources(list(totals.items()), block_words=block_words)
+    out = {}
+    for s in sources:
+        if not s.slots:
+            continue
+        taken = Counter()
+        for k in range(s.slots):
+            turn, at = divmod(k, s.blocks)
+            block = s.full
+            if at < s.full:
+                with np.errstate(over="ignore"):
+                    key = (np.array([s.source_id], np.uint64) << np.uint64(24) ^ np.array([turn], np.uint64)) * np.uint64(0x2545F4914F6CDD1D) ^ np.uint64(seed)
+                    block = int(mixing.permuted(np.array([at]), np.array([s.full]), key)[0])
+            n = min(block_words, s.words - block * block_words)
+            for w in range(s.last if k == s.slots - 1 else n):
+                taken[block * block_words + w] += 1
+        assert sum(taken.values()) == min(round(s.target), 3 * s.words)
+        out[s.name] = taken
+    return out
+
+
+@pytest.mark.parametrize("block_words", [8, 64])
+def test_words_taken_by_hand(spark, block_words):
+    sized = [(i, r[2], len(WORD.findall(r[1] or ""))) for i, r in enumerate(rows(150))]
+    df = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(rows(150))], "doc_id long, text string, source string")
+    mixture = mixing.mix(df, _common.Scratch(spark, "t"), block_words=block_words)
+    want = by_hand(sized, block_words)
+    names = {s.source_id: s.name for s in mixture.sources}
+    starts = {(r.doc_id, names[r.source_id]): r.start for r in mixture.docs.collect()}
+    for name in {s for _, s, n in sized if n}:  # documents stand one after the other in the stream
+        spans = sorted((starts[i, s], n) for i, s, n in sized if s == name and n)
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+    got = {r.doc_id: r.taken for r in mixing.taken_words(mixture).collect()}
+    assert got == {i: sum(want[s][w] for w in range(starts[i, s], starts[i, s] + n)) if n else 0 for i, s, n in sized}
+
+
+def test_the_mixture_does_not_depend_on_the_sessions_partitions(spark, docs):
+    key = "spark.sql.shuffle.partitions"
+    before, got = spark.conf.get(key), []
+    for n in (before, "23"):
+        spark.conf.set(key, n)
+        got.append(sorted(map(str, mixing.taken_words(mixing.mix(docs, _common.Scratch(spark, "t"))).collect())))
+    spark.conf.set(key, before)
+    assert got[0] == got[1]
+
+
+ODD = [(None, "a b c d", "s"), (None, "e f", "s"), (1, "g h i", "s"), (5, "q r s t", "s"), (5, "u v w x", "s"), (5, "q r s t", None), (6, "same", "s"), (6, "same", "s"), (7, None, "s"), (8, " \n", "z")]
+
+
+def test_mixed_documents_with_null_and_repeated_ids(spark):
+    """Every word that the mixture takes is in its output, for rows without and with the same doc_id too."""
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in ODD * 3], "doc_id long, text string, source string, _n int, _k1 int, start int")
+    got = mixing.mixed_documents(df, block_words=2, cycle=(1,)).collect()
+    assert set(got[0].asDict()) == set(df.columns) and all((r._n, r._k1, r.start) == (1, 2, 3) for r in got)
+    # with weights alike every source keeps its share, so some pass takes every word
+    sizes = Counter()
+    for r in ODD * 3:
+        sizes[r[2]] += len((r[1] or "").split())
+    targets = {s.name: round(s.target) for s in mixing.plan_sources(list(sizes.items()), (1,))}
+    taken = Counter()
+    for r in got:
+        taken[r.source] += len(r.text.split())
+    assert taken == {k: n for k, n in targets.items() if n}
+    words = {(r[0], r[2], r[1]) for r in ODD}
+    assert all(any((r.doc_id, r.source) == (i, s) and not Counter(r.text.split()) - Counter((t or "").split()) for i, s, t in words) for r in got)
+    whole = mixing.mixed_documents(df.where("source = 's'"), block_words=2).collect()  # one source: every row once
+    assert Counter((r.doc_id, r.text) for r in whole) == Counter((r[0], r[1]) for r in ODD * 3 if r[2] == "s" and r[1])
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
-    docs = spark.createDataFrame([r[:4] + (len(r[1] or ""),) for r in rows(200) if r[0] is not None and r[0] != 5], "doc_id long, text string, source string, lang string, n_chars long")
-    mixture = mixing.mix(docs, _common.Scratch(spark, "t"), block_words=8)
-    want = {r.doc_id: r.taken for r in mixing.taken_words(mixture).collect() if r.taken}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    got = Counter()
+    docs = spark.createDataFrame([r[:4] + (len(r[1] or ""),) for r in rows(200)], "doc_id long, text string, source string, lang string, n_chars long")
+    texts = {(r.doc_id, r.source): r.text for r in docs.collect()}
+    totals, got = Counter(), Counter()
+    for r in docs.collect():
+        totals[r.source] += len(WORD.findall(r.text or ""))
     for r in mixing.mixed_documents(docs, block_words=8).collect():
         words = WORD.findall(r.text)
-        got[r.doc_id] += len(words)
-        assert not Counter(words) - Counter(WORD.findall(texts[r.doc_id])) and r.n_chars == len(r.text)
-    assert dict(got) == want
+        got[r.source] += len(words)
+        assert not Counter(words) - Counter(WORD.findall(texts[r.doc_id, r.source])) and r.n_chars == len(r.text)
+    assert got == {s.name: min(round(s.target), 3 * s.words) for s in mixing.plan_sources(list(totals.items())) if s.slots}
 
 
 def test_mixed_blocks_hold_the_block_of_each_slot(spark):
-    docs = spark.createDataFrame([r[:3] for r in rows(60) if r[0] is not None and r[0] != 5 and r[1]], "doc_id long, text string, source string")
-    mixture = mixing.mix(docs, _common.Scratch(spark, "t"), block_words=8)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    lengths = {s.source_id: (s.block_words, s.words) for s in mixture.sources}
+    docs = spark.createDataFrame([r[:3] for r in rows(60)], "doc_id long, text string, source string")
+    totals, texts = Counter(), defaultdict(list)
+    for r in docs.collect():
+        totals[r.source] += len(WORD.findall(r.text or ""))
+        texts[r.doc_id].append(" ".join(WORD.findall(r.text or "")))
+    sources = {s.source_id: s for s in mixing.plan_sources(list(totals.items()), block_words=8)}
     size = Counter()
-    for r in mixing.mixed_blocks(docs, mixture).collect():
-        assert r.text in " ".join(WORD.findall(texts[r.doc_id]))
+    for r in mixing.mixed_blocks(docs, _common.Scratch(spark, "t"), block_words=8).collect():
+        assert any(r.text in t for t in texts[r.doc_id])
         size[r.source_id, r.slot, r.block] += len(r.text.split())
-    assert len(size) == sum(s.slots for s in mixture.sources)
-    for (source, _slot, block), n in size.items():
-        length, words = lengths[source]
-        assert n == min(length, words - block * length)
+    assert len(size) == sum(s.slots for s in sources.values())
+    for (source, slot, block), n in size.items():
+        s = sources[source]
+        assert n == (s.last if slot == s.slots - 1 else min(8, s.words - block * 8))
 
 
 # -- packing
@@ -198,9 +274,7 @@ def test_mixed_blocks_hold_the_block_of_each_slot(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pieces_are_the_tokenizers_ids(spark, docs, tokenizer):
@@ -233,6 +307,30 @@ def test_special_tokens_are_those_of_the_tokenizers_defaults(spark):
         assert got == {i: [*default.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
 
 
+def test_very_long_texts(spark, tokenizer):
+    texts = [" " * 1_000_000, "a b" + " " * 300_000 + "c", "\n" * 200_000, "ab" * 300_000, "<|endoftext|>" + " " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.token_pieces(df, with_ids=True).collect():
+        got[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        assert [x for r in sorted(got[i], key=lambda r: r.piece) for x in r.ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Copies are counted, and enumerated in runs: each gets a place of its own."""
+    monkeypatch.setattr(_common, "RUN", 100)
+    same = spark.range(5000).selectExpr("cast(if(id % 10 = 0, id, null) as long) as doc_id", "if(id % 10 = 0, 'x y', 'same text') as text", "'s' as source")
+    packed = packing.pack_documents(same, capacity=64).collect()
+    assert len(packed) == 5000 and len({(r.sequence_id, r.offset) for r in packed}) == 5000
+    got = placed(same)
+    shards = Counter(r.shard for r in got)
+    assert max(shards.values()) - min(shards.values()) <= 1 and len({(r.shard, r.slot) for r in got}) == 5000
+    mixture = mixing.mix(same, _common.Scratch(spark, "t"))
+    assert sorted(r.start for r in mixture.docs.collect()) == list(range(0, 10_000, 2))
+    assert [r.taken for r in mixing.taken_words(mixture).collect()] == [2] * 5000
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps, n = [], 0
     for x in sorted(lengths, reverse=True):
@@ -298,6 +396,12 @@ def test_running_offsets(spark):
         for start, w in spans:
             assert start == total
             total += w
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "101")  # other cells, the same order
+    again = _common.running_offsets(df, "g", ["k"], "w").collect()
+    spark.conf.set(key, before)
+    assert sorted(again) == sorted(got)
 
 
 def test_components(spark):
