@@ -20,16 +20,23 @@ BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Arrow batches of texts are cut at so many bytes on their way to Python, for both sides hold them twice.
-BATCH_BYTES = 4 << 20
+#: Arrow batches of texts are cut at so many bytes on their way to Python, for both sides hold them twice; a scan reads
+#: so many rows at a time, for its vectors hold whole texts and are doubled when they grow.
+BATCH_BYTES, SCAN_ROWS = 4 << 20, 128
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limit for Arrow batches to ``BATCH_BYTES`` if it is higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).removesuffix("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+    """Lower the session's limits for Arrow batches to ``BATCH_BYTES``, and for rows of a scan's batch to ``SCAN_ROWS``."""
+    for key, most, unit in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b"), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS, "")):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, f"{most}{unit}")
+
+
+def word_count(text: Column) -> Column:
+    """Number of words of a text (null: 0), without an array of them: each word becomes one letter, and spaces go."""
+    letters = F.translate(F.regexp_replace(text, WORD + "+", "w"), " \t\n\x0b\f\r", "")
+    return F.coalesce(F.octet_length(letters), F.lit(0)).cast("long")
 
 
 class Scratch:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch, counted_classes, enumerated, literal_table, partitions, running_offsets
+from ._common import WORD, Scratch, counted_classes, enumerated, literal_table, partitions, running_offsets, word_count
 
 
 class Source(NamedTuple):
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max
     Rows alike in key, source and number of words are interchangeable.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    size = word_count(F.col("text"))
     named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = scratch.keep(counted_classes(docs.select(*key, named.alias("named"), size.alias("size"))), "sized")
     groups = sized.groupBy("named").agg(F.sum(F.col("size") * F.col("copies")), F.max("copies")).collect()  # a row per source
