@@ -4,23 +4,28 @@ The model: a state for every context seen in training, an arc for every n-gram t
 the state of the next shorter context; the root holds every word and one class for unknown words.  With m the weight
 of the order, c the training counts and h' the context without its first token,
     p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m),      root: p(w) = (c(w) - d) / N, unknown words d V / N,
-with d = n1 / (n1 + 2 n2) from the numbers of words seen once and twice.  So the arc of a seen n-gram bears its
-probability and the failure arc of h bears m / (c(h) + m); each state's probabilities sum to 1.  A text is read once
-from left to right, from the state of a text's end, carrying the state and adding log10 of the arcs that it takes.
+with d = n1 / (n1 + 2 max(n2, 1)) from the numbers of words seen once and twice, which is below 1.  So the arc of a seen
+n-gram bears its probability and the failure arc of h bears m / (c(h) + m); each state's probabilities sum to 1.  A text
+is read once from left to right, from the state of a text's end, carrying the state and adding log10 of the arcs that it
+takes.
 
 Neither counts nor automaton are ever in one place: documents are dealt to blocks; a block sends its distinct n-grams
 and their own training counts, packed and sorted, to the buckets of a hash; a bucket sums them and answers each block
-with the totals that differ from what the block knows.  A block then holds exactly the states and arcs that its texts
-can take, and walks them.  All n-grams of all training documents are counted; there is no cutoff.
+with the totals that differ from what the block knows.  A block then builds the states, arcs and failure arcs that its
+texts can take, and traverses them.  All n-grams of all training documents are counted; there is no cutoff.
+
+Rows exchanged: each order costs blocks x min(buckets, distinct n-grams of a block) requests and at most as many
+answers; blocks and buckets follow the bytes of text.  A request holds all n-grams that a block has for a bucket, so the
+bytes follow the text, and the rows are at most one for each distinct n-gram of a block.
 
 N-grams are told apart by 64-bit hashes.  Defined cases: a null or empty text is one end token; a null doc_id is a
-training document; repeated rows are counted and scored each; without training tokens every score is 0; an empty table
-gives an empty result.
+training document; repeated rows are counted and scored each (more than ``COPIES`` equal ones are read once, with their
+number); without training tokens every score is 0; an empty table gives an empty result; a word of any length is one
+token.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -30,11 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, partitions
+from ._common import Scratch, bounded, enumerated, partitions
 
 #: Weight of the shorter context, for n-grams of two tokens, three and so on; the query's order is their number plus 1.
 BACKOFF = (500.0,)
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20  # of text for each block, and for each bucket
+#: More equal rows than this are dealt to their block as one row with a number.
+COPIES = 1000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 
@@ -106,7 +113,10 @@ def large(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """The distinct n-grams of a block of texts: per order sorted hashes, own training counts, and each token's place."""
+    """The distinct n-grams of a block of texts: per order sorted hashes, own training counts, and each token's place.
+
+    ``training`` is the number of times that a text counts.
+    """
 
     def __init__(self, texts: Sequence[bytes | None], training: np.ndarray, order: int):
         self.token, self.first = tokens(texts)
@@ -126,78 +136,66 @@ class Block:
         return np.append(np.searchsorted(self.hashes[n], edges.astype(np.uint64)), len(self.hashes[n]))
 
 
-def walk(block: Block, totals: list[np.ndarray], stats: tuple[int, int, int, int], backoff: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of each token's probability by the model and by the base, and whether the token is known.
-
-    ``totals`` has the training counts of the block's n-grams.  Token i is read in the state of the longest context
-    that training has; each order's step follows the arc if there is one, else the failure arc.
-    """
-    n_tokens, kinds, once, twice = stats
-    count = totals[0][block.place[0]]
-    known = count > 0
-    d = once / (once + 2 * twice) if once else 0.5
-    if not n_tokens:
-        zero = np.zeros(len(count))
-        return zero, zero, known
-    p = np.where(known, count - d, d * kinds) / n_tokens
-    base = np.log10((count + 1) / (n_tokens + kinds + 1))
-    context = np.empty_like(count)  # count of the context that ends before each token
-    end_count = totals[0][block.place[0][block.first + block.sizes - 1]]  # an end is in every text
-    for n, m in enumerate(backoff, start=1):
-        shorter = totals[n - 1][block.place[n - 1]]
-        context[1:] = shorter[:-1]
-        if n == 1:
-            context[block.first] = end_count
-        else:
-            context[block.first] = 0
-        arc = np.where(block.there[n], totals[n][block.place[n]], 0)
-        seen = np.where(block.there[n], context, 0)
-        p = np.where(seen > 0, (arc + m * p) / (seen + m), p)
-    return np.log10(p), base, known
-
-
 class Automaton:
-    """The automaton itself, for counts that fit in memory: the reference for ``walk`` and a scorer of single texts.
+    """States, arcs and failure arcs that the texts of a block can take.
 
-    A state is a context (a tuple of hashes, the root is empty).  ``arcs[state][token]`` is log10 of the probability of
-    a seen continuation, ``failure[state]`` log10 of the weight of the state without its first token.
+    State 0 is the root; then come the n-grams shorter than the order, by length and hash, of which those seen in
+    training are reached.  An arc's key is its state times the number of words plus the word.  Every word of the block
+    has an arc from the root, unknown ones with the probability of their class.
     """
 
-    def __init__(self, counts: dict[tuple[int, ...], int], backoff: Sequence[float]):
-        words = {k[0]: c for k, c in counts.items() if len(k) == 1}
-        once, twice = (sum(c == n for c in words.values()) for n in (1, 2))
-        d, total = once / (once + 2 * twice) if once else 0.5, sum(words.values())
-        self.order = len(backoff) + 1
-        self.unknown = math.log10(d * len(words) / total)
-        self.arcs: dict[tuple[int, ...], dict[int, float]] = {(): {w: math.log10((c - d) / total) for w, c in words.items()}}
-        self.failure: dict[tuple[int, ...], float] = {}
-        for gram in sorted((k for k in counts if len(k) > 1), key=len):
-            state, m = gram[:-1], backoff[len(gram) - 2]
-            self.failure[state] = math.log10(m / (counts[state] + m))
-            p = (counts[gram] + m * 10 ** self._step(state[1:], gram[-1])) / (counts[state] + m)
-            self.arcs.setdefault(state, {})[gram[-1]] = math.log10(p)
-
-    def _step(self, state: tuple[int, ...], token: int) -> float:
-        """log10 of a token's probability in a state: an arc, or failure arcs until there is one."""
-        weight = 0.0
-        while True:
-            arc = self.arcs.get(state, {}).get(token)
-            if arc is not None:
-                return weight + arc
-            if not state:
-                return weight + self.unknown
-            weight += self.failure.get(state, 0.0)
-            state = state[1:]
-
-    def score(self, tokens: Sequence[int]) -> float:
-        """log10 of the probability of a text's tokens, in one traversal from the state of a text's end."""
-        state, total = (END,), 0.0
-        for token in tokens:
-            total += self._step(state, token)
-            # the longest suffix of what was read that is a state
-            state = (*state, token)[-(self.order - 1) :] if self.order > 1 else ()
-            while state and state not in self.arcs:
-                state = state[1:]
+    def __init__(self, block: Block, totals: Sequence[np.ndarray], stats: tuple[int, int, int, int], backoff: Sequence[float]):
+        n_tokens, kinds, once, twice = stats
+        d = once / (once + 2 * max(twice, 1)) if once else 0.5
+        order, self.words = len(backoff) + 1, len(block.hashes[0])
+        state = np.cumsum([1, *map(len, block.hashes[: order - 1])])  # of the first n-gram of each length
+        p = np.where(totals[0] > 0, totals[0] - d, d * kinds) / n_tokens
+        known = totals[0] > 0
+        keys, weights, after = [np.arange(self.words)], [np.log10(p)], [np.where(known, state[0] + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)]
+        fail, penalty = [np.zeros(1, np.int64)], [np.zeros(1)]
+        end = int(block.place[0][block.first[0] + block.sizes[0] - 1])  # an end is in every text
+        longest = np.zeros(self.words, np.int64)  # the state of an n-gram without its first token
+        begins = np.zeros(len(block.token), bool)
+        begins[block.first] = True
+        for n, m in enumerate(backoff, start=1):
+            count = totals[n - 1]
+            fail.append(longest)
+            penalty.append(np.log10(m / (count + m)))
+            # an occurrence of each n-gram of n + 1 tokens tells its context, its last word and its shorter form
+            at = np.full(len(block.hashes[n]), -1)
+            some = np.flatnonzero(block.there[n])
+            at[block.place[n][some]] = some
+            j = np.flatnonzero((at >= 0) & (totals[n] > 0))
+            i = at[j]
+            context = block.place[n - 1][i - 1].astype(np.int64)
+            if n == 1:
+                context[begins[i]] = end
+            shorter = block.place[n - 1][i]
+            grown = np.zeros(len(block.hashes[n]))
+            grown[j] = (totals[n][j] + m * p[shorter]) / (count[context] + m)
+            longest = np.zeros(len(block.hashes[n]), np.int64)
+            longest[j] = state[n - 1] + shorter
+            keys.append((state[n - 1] + context) * self.words + block.place[0][i])
+            weights.append(np.log10(grown[j]))
+            after.append(state[n] + j if n < order - 1 else longest[j])
+            p = grown
+        self.arc = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
+        self.weight, self.after = np.concatenate(weights).tolist(), np.concatenate(after).tolist()
+        self.fail, self.penalty = np.concatenate(fail).tolist(), np.concatenate(penalty).tolist()
+        self.start = int(state[0]) + end if order > 1 and known[end] else 0
+
+    def score(self, words: Sequence[int]) -> float:
+        """log10 of the probability of a text's tokens (places in the block's words), in one traversal."""
+        arc, weight, after, fail, penalty, width = self.arc.get, self.weight, self.after, self.fail, self.penalty, self.words
+        state, total = self.start, 0.0
+        for word in words:
+            a = arc(state * width + word)
+            while a is None:
+                total += penalty[state]
+                state = fail[state]
+                a = arc(state * width + word)
+            total += weight[a]
+            state = after[a]
         return total
 
 
@@ -206,19 +204,25 @@ def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float]
     spark = docs.sparkSession
     scratch = Scratch(spark, "model")
     order = len(backoff) + 1
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), training.alias("training"), F.lit(1).cast("long").alias("copies"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", F.isnull("doc_id"), "text"))
+    sizes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    keys = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(sizes).alias("bytes")), "keys")
+    total, most, heavy = keys.agg(F.sum("bytes"), F.max("n"), F.count_if(F.col("n") > COPIES)).first()
+    total = total or 0
+    if heavy:  # rows that are equal share a block: so many are counted before they are dealt
+        many = bounded(keys.where(F.col("n") > COPIES).select("key"), heavy)
+        once = rows.join(many, "key", "left_semi").groupBy("key", "doc_id", "text", "training").agg(F.count(F.lit(1)).alias("copies"))
+        rows = rows.join(many, "key", "left_anti").unionByName(once)
     blocks = max(partitions(spark), -(-total // block_bytes))
     buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
-    dealt = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), training.alias("training"), F.pmod(F.xxhash64("doc_id", size, F.substring("text", 1, 64)), F.lit(blocks)).alias("block")
-    )
+    dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks))).drop("key")
     asked = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     told = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int64()), ("places", pa.binary()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64()))])
-    scores = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    scores = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def read(table: pa.Table) -> Block:
-        return Block(table.column("text").to_pylist(), np.array(table.column("training").to_pylist(), bool), order)
+        return Block(table.column("text").to_pylist(), np.array(table.column("training").to_pylist(), bool) * table.column("copies").to_numpy(), order)
 
     def ask(table: pa.Table) -> pa.Table:
         block, name = read(table), table.column("block")[0].as_py()
@@ -262,13 +266,22 @@ def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float]
         cuts = [block.cuts(n, buckets) for n in range(order)]
         for n, bucket, places, values in zip(*(replies.column(c).to_pylist() for c in ("n", "bucket", "places", "totals")), strict=True):
             totals[n][cuts[n][bucket] + np.cumsum(large(places))] = large(values)
-        model, base, known = walk(block, totals, stats, backoff)
-        sums = [np.add.reduceat(x, block.first) for x in (known.astype(np.int64), base, model)]
-        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), texts.column("training").combine_chunks(), pa.array(block.sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], schema=scores)
+        known = totals[0][block.place[0]] > 0
+        model, base = np.zeros(len(block.first)), np.zeros(len(block.first))
+        if stats[0]:
+            machine = Automaton(block, totals, stats, backoff)
+            words, cut = block.place[0].tolist(), [*block.first.tolist(), len(block.token)]
+            model = np.array([machine.score(words[i:j]) for i, j in zip(cut, cut[1:], strict=False)])
+            base = np.add.reduceat(np.log10((totals[0] + 1) / (stats[0] + stats[1] + 1))[block.place[0]], block.first)
+        n_known = np.add.reduceat(known.astype(np.int64), block.first)
+        told = [texts.column(c).combine_chunks() for c in ("doc_id", "training", "copies")]
+        return pa.Table.from_arrays([*told, pa.array(block.sizes, pa.int64()), pa.array(n_known), pa.array(base), pa.array(model)], schema=scores)
 
     replies = answers.where("block >= 0").drop("stats")
-    out = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(stats[0]).cast("long"))
+    out = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, training boolean, copies long, n_tokens long, n_known long, base_score double, score double")
+    if heavy:
+        out = enumerated(out, F.lit(0).cast("long"), F.col("copies"), "_copy", most).drop("_copy")
+    return out.drop("copies").withColumn("train_tokens", F.lit(stats[0]).cast("long"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,7 +338,7 @@ def scores_by_hand(rows, training, backoff):
                         counts[n - 1][tuple(x[j - n + 1 : j + 1])] += 1
     total, kinds = sum(counts[0].values()), len(counts[0])
     n1, n2 = (sum(v == k for v in counts[0].values()) for k in (1, 2))
-    d = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d = n1 / (n1 + 2 * max(n2, 1)) if n1 else 0.5
     out = []
     for x in tokens:
         x, score, base, known = ["\n", *x], 0.0, 0.0, 0
@@ -371,32 +371,51 @@ def test_language_model(spark, backoff):
 
 def test_each_states_probabilities_sum_to_one():
     texts = [b"a b a c", b"a b b", b"c a b a"]
-    block = language_model.Block(texts, np.ones(3, bool), 2)
-    words, places = np.unique(block.token, return_inverse=True)
-    stats = (len(block.token), len(words), int((block.own[0] == 1).sum()), int((block.own[0] == 2).sum()))
     probe = [b"a " + w for w in (b"a", b"b", b"c", b"zzz")] + [b"a"]
-    other = language_model.Block([*texts, *probe], np.array([True] * 3 + [False] * 5), 2)
-    model, _, _ = language_model.walk(other, other.own, stats, (2.0,))
-    after_a = [10 ** model[other.first[3 + i] + 1] for i in range(5)]  # each word, the unknown one and the end, after "a"
-    assert len(places) and abs(sum(after_a) - 1) < 1e-9
-
-
-@pytest.mark.parametrize("backoff", [(50.0,), (20.0, 5.0, 2.0)])
-def test_blocks_score_as_the_automaton_does(backoff):
-    texts = [prose(int(n), i, 30).encode() for i, n in enumerate(np.random.default_rng(4).integers(0, 80, 12))]
-    order, counts = len(backoff) + 1, Counter()
-    for x in texts[:9]:
-        tokens = [language_model.END, *language_model.tokens([x])[0].tolist()]
-        for j in range(1, len(tokens)):
-            for n in range(1, order + 1):
-                if j - n + 1 >= 0:
-                    counts[tuple(tokens[j - n + 1 : j + 1])] += 1
-    machine = language_model.Automaton(counts, backoff)
-    block = language_model.Block(texts, np.array([True] * 9 + [False] * 3), order)
-    words = [c for k, c in counts.items() if len(k) == 1]
-    model, _, _ = language_model.walk(block, block.own, (sum(words), len(words), words.count(1), words.count(2)), backoff)
-    got = np.add.reduceat(model, block.first)
-    assert np.allclose(got, [machine.score(language_model.tokens([x])[0].tolist()) for x in texts])
+    block = language_model.Block([*texts, *probe], np.array([1] * 3 + [0] * 5), 2)
+    own = block.own[0]
+    stats = (int(own.sum()), int((own > 0).sum()), int((own == 1).sum()), int((own == 2).sum()))
+    machine = language_model.Automaton(block, block.own, stats, (2.0,))
+    words = [block.place[0][i : i + n].tolist() for i, n in zip(block.first, block.sizes, strict=True)]
+    state = machine.after[machine.arc[machine.start * machine.words + words[3][0]]]  # after "a"
+    machine.start = state
+    after_a = [10 ** machine.score([w[1]]) for w in words[3:]]  # each word, the unknown one and the end
+    assert state and abs(sum(after_a) - 1) < 1e-9
+
+
+def test_states_and_failure_arcs():
+    """The automaton itself, by hand: a trigram model over one text, "a b a b"."""
+    block = language_model.Block([b"a b a b", b"b b"], np.array([1, 0]), 3)
+    own = block.own[0]
+    machine = language_model.Automaton(block, block.own, (int(own.sum()), 3, int((own == 1).sum()), int((own == 2).sum())), (2.0, 1.0))
+    a, b = (block.place[0][i] for i in (0, 1))
+    end = block.place[0][4]
+    go = lambda s, w: machine.after[machine.arc[s * machine.words + w]]
+    assert machine.start == 1 + end
+    ab = go(go(machine.start, a), b)
+    assert machine.fail[ab] == 1 + b and machine.fail[1 + b] == 0  # (a b) fails to (b), (b) to the root
+    assert go(ab, a) == machine.after[machine.arc[(1 + b) * machine.words + a]]  # both lead to the state (b a)
+    assert (1 + b) * machine.words + b not in machine.arc and b in machine.arc  # "b b" was not seen: by failure arcs only
+    assert machine.penalty[1 + b] == pytest.approx(math.log10(2 / (2 + 2))) and machine.penalty[ab] == pytest.approx(math.log10(1 / (2 + 1)))
+
+
+def test_words_seen_once_only_keep_a_probability(spark):
+    """No word occurs twice, so no estimate of the discount is below 1 by itself."""
+    df = docs_of(spark, [(1, "a b c d e"), (2, "e a")])
+    got = {r.doc_id: r for r in language_model.score_documents(df, F.col("doc_id") == 1).collect()}
+    want = scores_by_hand([(1, "a b c d e"), (2, "e a")], [True, False], (500.0,))
+    assert all(math.isfinite(got[i].score) and got[i].score == pytest.approx(w[4]) for i, w in zip((1, 2), want, strict=True))
+
+
+def test_many_equal_texts_and_very_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "COPIES", 3)
+    rows = [(7, "same text here")] * 10 + [(None, "no id")] * 5 + [(None, "other")] + [(1, "w " * 60_000 + "x" * 100_000), (2, "a b"), (2, "a b"), (2, None), (2, None)]
+    training = [i != 2 for i, _ in rows]
+    got = language_model.score_documents(docs_of(spark, rows), F.coalesce(F.col("doc_id") != 2, F.lit(True))).collect()
+    want = [(i, *s) for (i, _), s in zip(rows, scores_by_hand(rows, training, (500.0,)), strict=True)]
+    order = lambda r: (str(r[0]), *r[1:3], round(r[5], 6))
+    mine = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=order)
+    assert len(mine) == len(rows) and all(m[:4] == w[:4] and np.allclose(m[4:], w[4:]) for m, w in zip(mine, sorted(want, key=order), strict=True))
 
 
 def test_no_training_and_empty(spark):
