@@ -140,63 +140,64 @@ class Automaton:
     """States, arcs and failure arcs that the texts of a block can take.
 
     State 0 is the root; then come the n-grams shorter than the order, by length and hash, of which those seen in
-    training are reached.  An arc's key is its state times the number of words plus the word.  Every word of the block
-    has an arc from the root, unknown ones with the probability of their class.
+    training are reached.  A state of n tokens has an arc for each seen n-gram of n + 1 tokens that begins with it, so
+    arcs are numbered by those n-grams.  Every word of the block has an arc from the root, unknown ones with the
+    probability of their class.  ``step[n]`` and ``after[n]`` are, for each token, log10 of the probability of the arc
+    that a state of n tokens has for it there, and the state that it leads to, -1 without such an arc.
     """
 
     def __init__(self, block: Block, totals: Sequence[np.ndarray], stats: tuple[int, int, int, int], backoff: Sequence[float]):
         n_tokens, kinds, once, twice = stats
         d = once / (once + 2 * max(twice, 1)) if once else 0.5
-        order, self.words = len(backoff) + 1, len(block.hashes[0])
+        order, known = len(backoff) + 1, totals[0] > 0
         state = np.cumsum([1, *map(len, block.hashes[: order - 1])])  # of the first n-gram of each length
-        p = np.where(totals[0] > 0, totals[0] - d, d * kinds) / n_tokens
-        known = totals[0] > 0
-        keys, weights, after = [np.arange(self.words)], [np.log10(p)], [np.where(known, state[0] + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)]
+        p = np.where(known, totals[0] - d, d * kinds) / n_tokens
+        to = np.where(known & (order > 1), state[0] + np.arange(len(p)), 0)
+        self.step, self.after = [np.log10(p)[block.place[0]]], [to[block.place[0]]]
         fail, penalty = [np.zeros(1, np.int64)], [np.zeros(1)]
-        end = int(block.place[0][block.first[0] + block.sizes[0] - 1])  # an end is in every text
-        longest = np.zeros(self.words, np.int64)  # the state of an n-gram without its first token
+        end = int(block.place[0][block.sizes[0] - 1])  # an end is in every text
         begins = np.zeros(len(block.token), bool)
         begins[block.first] = True
+        shorter_state = np.zeros(len(p), np.int64)  # of an n-gram without its first token
         for n, m in enumerate(backoff, start=1):
             count = totals[n - 1]
-            fail.append(longest)
+            fail.append(shorter_state)
             penalty.append(np.log10(m / (count + m)))
-            # an occurrence of each n-gram of n + 1 tokens tells its context, its last word and its shorter form
+            # an occurrence of each n-gram of n + 1 tokens tells its context and its shorter form
             at = np.full(len(block.hashes[n]), -1)
             some = np.flatnonzero(block.there[n])
             at[block.place[n][some]] = some
             j = np.flatnonzero((at >= 0) & (totals[n] > 0))
             i = at[j]
-            context = block.place[n - 1][i - 1].astype(np.int64)
-            if n == 1:
-                context[begins[i]] = end
+            context = np.where(begins[i], end, block.place[n - 1][i - 1]) if n == 1 else block.place[n - 1][i - 1]
             shorter = block.place[n - 1][i]
-            grown = np.zeros(len(block.hashes[n]))
+            grown, to, longer = np.ones(len(at)), np.full(len(at), -1), np.zeros(len(at), np.int64)
             grown[j] = (totals[n][j] + m * p[shorter]) / (count[context] + m)
-            longest = np.zeros(len(block.hashes[n]), np.int64)
-            longest[j] = state[n - 1] + shorter
-            keys.append((state[n - 1] + context) * self.words + block.place[0][i])
-            weights.append(np.log10(grown[j]))
-            after.append(state[n] + j if n < order - 1 else longest[j])
-            p = grown
-        self.arc = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
-        self.weight, self.after = np.concatenate(weights).tolist(), np.concatenate(after).tolist()
-        self.fail, self.penalty = np.concatenate(fail).tolist(), np.concatenate(penalty).tolist()
+            longer[j] = state[n - 1] + shorter
+            to[j] = state[n] + j if n < order - 1 else longer[j]
+            self.step.append(np.log10(grown)[block.place[n]])
+            self.after.append(np.where(block.there[n], to[block.place[n]], -1))
+            p, shorter_state = grown, longer
+        self.fail, self.penalty = np.concatenate(fail), np.concatenate(penalty)
+        self.size = np.repeat(np.arange(order, dtype=np.uint8), [1, *map(len, block.hashes[: order - 1])]).tobytes()  # tokens of a state
         self.start = int(state[0]) + end if order > 1 and known[end] else 0
 
-    def score(self, words: Sequence[int]) -> float:
-        """log10 of the probability of a text's tokens (places in the block's words), in one traversal."""
-        arc, weight, after, fail, penalty, width = self.arc.get, self.weight, self.after, self.fail, self.penalty, self.words
+    def score(self, first: int, last: int) -> float:
+        """log10 of the probability of the text of the tokens first to last, in one traversal that carries the state."""
+        arcs = zip(*(x[first:last].tolist() for pair in zip(self.after, self.step, strict=True) for x in pair), strict=True)
+        fail, penalty, size = self.fail, self.penalty, self.size
         state, total = self.start, 0.0
-        for word in words:
-            a = arc(state * width + word)
-            while a is None:
+        for arc in arcs:
+            n = 2 * size[state]
+            to = arc[n]
+            while to < 0:
                 total += penalty[state]
                 state = fail[state]
-                a = arc(state * width + word)
-            total += weight[a]
-            state = after[a]
-        return total
+                n -= 2
+                to = arc[n]
+            total += arc[n + 1]
+            state = to
+        return float(total)
 
 
 def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float] = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -270,8 +271,8 @@ def score_documents(docs: DataFrame, training: Column, backoff: Sequence[float]
         model, base = np.zeros(len(block.first)), np.zeros(len(block.first))
         if stats[0]:
             machine = Automaton(block, totals, stats, backoff)
-            words, cut = block.place[0].tolist(), [*block.first.tolist(), len(block.token)]
-            model = np.array([machine.score(words[i:j]) for i, j in zip(cut, cut[1:], strict=False)])
+            cut = [*block.first.tolist(), len(block.token)]
+            model = np.array([machine.score(i, j) for i, j in zip(cut, cut[1:], strict=False)])
             base = np.add.reduceat(np.log10((totals[0] + 1) / (stats[0] + stats[1] + 1))[block.place[0]], block.first)
         n_known = np.add.reduceat(known.astype(np.int64), block.first)
         told = [texts.column(c).combine_chunks() for c in ("doc_id", "training", "copies")]

@@ -376,27 +376,28 @@ def test_each_states_probabilities_sum_to_one():
     own = block.own[0]
     stats = (int(own.sum()), int((own > 0).sum()), int((own == 1).sum()), int((own == 2).sum()))
     machine = language_model.Automaton(block, block.own, stats, (2.0,))
-    words = [block.place[0][i : i + n].tolist() for i, n in zip(block.first, block.sizes, strict=True)]
-    state = machine.after[machine.arc[machine.start * machine.words + words[3][0]]]  # after "a"
-    machine.start = state
-    after_a = [10 ** machine.score([w[1]]) for w in words[3:]]  # each word, the unknown one and the end
-    assert state and abs(sum(after_a) - 1) < 1e-9
+    after_a = []  # each word, the unknown one and the end, after "a"
+    for i in block.first[3:].tolist():
+        machine.start = int(machine.after[1][0])  # the state of "a": the first text's first arc leads there
+        after_a.append(10 ** machine.score(i + 1, i + 2))
+    assert machine.start and abs(sum(after_a) - 1) < 1e-9
 
 
 def test_states_and_failure_arcs():
-    """The automaton itself, by hand: a trigram model over one text, "a b a b"."""
+    """The automaton itself, by hand: a trigram model of one text, "a b a b"; the other, "b b", is not trained on."""
     block = language_model.Block([b"a b a b", b"b b"], np.array([1, 0]), 3)
     own = block.own[0]
     machine = language_model.Automaton(block, block.own, (int(own.sum()), 3, int((own == 1).sum()), int((own == 2).sum())), (2.0, 1.0))
-    a, b = (block.place[0][i] for i in (0, 1))
-    end = block.place[0][4]
-    go = lambda s, w: machine.after[machine.arc[s * machine.words + w]]
-    assert machine.start == 1 + end
-    ab = go(go(machine.start, a), b)
-    assert machine.fail[ab] == 1 + b and machine.fail[1 + b] == 0  # (a b) fails to (b), (b) to the root
-    assert go(ab, a) == machine.after[machine.arc[(1 + b) * machine.words + a]]  # both lead to the state (b a)
-    assert (1 + b) * machine.words + b not in machine.arc and b in machine.arc  # "b b" was not seen: by failure arcs only
-    assert machine.penalty[1 + b] == pytest.approx(math.log10(2 / (2 + 2))) and machine.penalty[ab] == pytest.approx(math.log10(1 / (2 + 1)))
+    a, b, end = (1 + block.place[0][i] for i in (0, 1, 4))
+    assert machine.start == end and [machine.size[s] for s in (0, a, b, end)] == [0, 1, 1, 1]
+    ab = machine.after[1][1]  # the arc of "b" from the state (a)
+    assert machine.size[ab] == 2 and machine.fail[ab] == b and machine.fail[b] == 0  # (a b) fails to (b), (b) to the root
+    assert machine.after[2][2] == machine.after[1][2]  # "a" leads from (a b), as from (b), to (b a)
+    assert machine.after[1][6] == -1 and machine.after[0][6] == b  # "b b" was not seen: by the failure arc only
+    assert machine.penalty[b] == pytest.approx(math.log10(2 / (2 + 2))) and machine.penalty[ab] == pytest.approx(math.log10(1 / (2 + 1)))
+    # from the start no arc: end -> root -b-> (b), then (b) -> root -b-> (b), then (b) has the end
+    by_hand = machine.penalty[end] + machine.step[0][5] + machine.penalty[b] + machine.step[0][6] + machine.step[1][7]
+    assert machine.score(5, 8) == pytest.approx(by_hand)
 
 
 def test_words_seen_once_only_keep_a_probability(spark):
