@@ -168,7 +168,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     lanes = max(1, min(-(-rows // block), 4 * partitions(spark)))
     laned = candidates.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
     asks = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    pairs = laned.join(asks, "lane").where(F.col("top") * (1 + 1e-9) >= F.col("reach"))
+    # queries are a share of all rows, and every lane has them all: they are dealt to the lanes, never broadcast
+    pairs = laned.join(asks.hint("merge"), "lane").where(F.col("top") * (1 + 1e-9) >= F.col("reach"))
     schema = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
