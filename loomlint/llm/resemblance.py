@@ -53,7 +53,7 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 def text_keys() -> list[Column]:
     """h1, h2: equal for equal texts."""
-    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.reverse("text")).alias("h2")]
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.reverse("text"), F.isnull("text")).alias("h2")]
 
 
 def similar_pairs(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import resemblance
-from ._common import BROADCAST_ROWS, Scratch, Union, batch, components, grouped_batches, map_arrow
+from ._common import BROADCAST_ROWS, Scratch, Union, batch, bounded, components, grouped_batches, map_arrow
 
 BITS, WITHIN, FAN, NODE = 64, 2, 8, 1024
 SLICE = 100_000
@@ -179,12 +179,8 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) of every row.
-
-    With a ``similarity`` texts link also if the Jaccard similarity of their sets of shingles of ``words`` reaches it.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _rooted(docs: DataFrame, scratch: Scratch, shingle: int, similarity: float | None, words: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp; with a similarity h1, h2 too), and for each fp its least doc_id and its component's root."""
     rows = scratch.keep(fingerprints(docs, shingle) if similarity is None else sketches(docs, shingle, words), "fingerprints")
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = links(classes.select("fp"), scratch)
@@ -192,29 +188,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None
         found = found.unionByName(resemblance.links(docs, rows, scratch, words, similarity))
     roots = components(scratch.keep(found, "links"), scratch)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = scratch.keep(rooted, "rooted")
+    return rows, scratch.keep(rooted, "rooted")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the component) of every row.
+
+    With a ``similarity`` texts link also if the Jaccard similarity of their sets of shingles of ``words`` reaches it.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, rooted = _rooted(docs, scratch, shingle, similarity, words)
     # components of several fingerprints only; all others are their own
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.select("doc_id", "fp").join(named, "fp")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest (see near_duplicates), once for each doc_id.
+def one_of_each(docs: DataFrame, shingle: int = 3, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component (see near_duplicates): that of the smallest doc_id.
 
-    Rows without doc_id cannot be told apart by it and stay.
+    Rows are told apart by doc_id and text.  So a doc_id may be null (it stays only if its component has no other) or
+    stand for different texts, each of which has its own component; of wholly equal rows one stays.
     """
-    found = near_duplicates(docs, shingle, similarity, words)
     scratch = Scratch(docs.sparkSession, "kept")
-    # a doc_id that stands for different texts may have several components: it stays if any of them is its own
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"), F.count(F.lit(1)).alias("n"))
-    by_id = scratch.keep(by_id.where("not own or n > 1"), "told")
-    # the ids that go are fewer than those that stay
-    out = docs.join(by_id.where("not own").select("doc_id"), "doc_id", "left_anti")
-    if by_id.where("own").limit(1).count():
-        rest = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = rest.unionByName(out.where("doc_id is null"))
-    return out
+    rows, rooted = _rooted(docs, scratch, shingle, similarity, words)
+    key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h1", "h2")
+    found = rows.select("fp", key.alias("row")).join(rooted.select("fp", "root"), "fp")
+    groups = scratch.keep(found.groupBy("root").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
+    # only rows of groups are looked at again, and the rows that go are fewer than those that stay
+    told = found.join(groups, "root").groupBy("row").agg(F.first(F.col("row") == F.col("stays")).alias("own"), F.count(F.lit(1)).alias("n"))
+    told = scratch.keep(told.where("not own or n > 1").select("row.doc_id", "row.h1", "row.h2", "own"), "told")
+    n_gone, n_again = told.agg(F.count_if(~F.col("own")), F.count_if(F.col("own"))).first()
+    text = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), *resemblance.text_keys())  # a struct, so that no name can clash
+    same = lambda t: F.col("_id").eqNullSafe(t["doc_id"]) & (F.col("_h1") == t["h1"]) & (F.col("_h2") == t["h2"])
+    out = text.withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
+    gone, again = bounded(told.where("not own"), n_gone), bounded(told.where("own"), n_again)
+    out = out.join(gone, same(gone), "left_anti")
+    if n_again:
+        out = out.join(again, same(again), "left_anti").unionByName(out.join(again, same(again), "left_semi").dropDuplicates(["_id", "_h1", "_h2"]))
+    return out.select("_row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
