@@ -7,14 +7,15 @@ candidate pair is verified by its cosine in double precision.  The number of has
 that a table has some twenty buckets for each and unrelated vectors seldom meet; more hashes come with more tables
 (``TABLES``), which keeps the recall.
 
-Equal vectors are one class, so copies are never compared with each other.  A pair is counted only in the least of the
-buckets that it shares, so link counts need no list of pairs; each bucket gives counts per vector and a spanning star
-of its links.  A bucket of more than ``BUCKET`` classes is split into blocks, and each pair of its blocks is a task's
+Equal vectors are one class, so copies are never compared with each other.  Of buckets with the same members one is
+looked into, and vectors travel to those only.  A pair is counted only in the least of them that it shares, so link
+counts need no list of pairs; each bucket gives counts per vector and a spanning star of its links.  A bucket of more than ``BUCKET`` classes is split into blocks, and each pair of its blocks is a task's
 group of its own, so no candidate is given up and none is compared in a group without bound.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths never link; a row without vec_id links by its class and is never its smallest; an empty table gives
-an empty result.  Recall is measured by the tests (at cosine 0.9 above 0.99 for 64 components).
+different lengths never link; a row without vec_id links by its class, and is not considered for component_id, which is
+null where no row of a component has one; rows that share a vec_id link each by its own vector; an empty table gives an
+empty result.  Recall is measured by the tests (at cosine 0.9 above 0.99 for 64 components).
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def met_before(codes: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: np.ndarr
         a, b, own = codes[i[s : s + 50_000]], codes[j[s : s + 50_000]], bucket[s : s + 50_000, None]
         for p in range(codes.shape[2]):
             mine = a[:, :, p]
-            lower = mine < own
+            lower = (mine < own) & (mine != 0)  # 0 stands for buckets that are not looked into
             for q in range(codes.shape[2]):
                 out[s : s + 50_000] |= ((mine == b[:, :, q]) & lower).any(axis=1)
     return out
@@ -154,10 +155,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding").withColumn("ok", usable("embedding"))
     keys = [F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")]
     classes = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    if tables is None or hashes is None:
+    if tables is None:
+        if hashes is not None:
+            raise ValueError("hashes need a number of tables")
         n, dim = rows.where("ok").agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
         tables, hashes = plan(n, dim or 1)
-    coded_schema = [("cls", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("vec", pa.binary()), ("codes", pa.list_(pa.int64()))]
+    elif hashes is None:
+        raise ValueError("tables need a number of hashes")
+    coded_schema = [("least", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("vec", pa.binary()), ("codes", pa.list_(pa.int64()))]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,17 +174,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None
                 at = np.flatnonzero(lengths == dim)
                 x = flat[starts[at][:, None] + np.arange(dim)]
                 ids = buckets(x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), tables, hashes)
-                col = {c: b.column(c).take(pa.array(at)) for c in ("cls", "n", "h1", "h2")}
+                col = {c: b.column(c).take(pa.array(at)) for c in ("least", "n", "h1", "h2")}
                 yield batch(coded_schema, **col, vec=[v.tobytes() for v in x], codes=list(ids))
 
-    named = classes.select(F.coalesce("least", F.xxhash64("embedding")).alias("cls"), "n", *keys, "embedding")
-    coded = scratch.keep(map_arrow(named, code, "cls long, n long, h1 long, h2 int, vec binary, codes array<long>"), "coded")
-    # ids alone find the buckets with company; vectors travel to those only
+    coded = map_arrow(classes.select("least", "n", *keys, "embedding"), code, "least long, n long, h1 long, h2 int, vec binary, codes array<long>")
+    coded = scratch.keep(coded.withColumn("cls", F.monotonically_increasing_id()), "coded")  # a class has a number of its own, as written
+    # ids alone find the buckets with company; of buckets with the same members one is enough; vectors travel to those only
     members = coded.select("cls", F.explode(F.array_distinct("codes")).alias("bucket"))
-    crowded = scratch.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "crowded")
+    marks = [F.bit_xor(F.xxhash64("cls")).alias("m1"), F.bit_xor(F.xxhash64(F.lit("second"), "cls")).alias("m2")]
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), *marks).where("k > 1 and bucket <> 0")
+    crowded = scratch.keep(crowded.groupBy("k", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", "k"), "crowded")
     places = members.join(crowded, "bucket").groupBy("cls").agg(F.collect_list(F.struct("bucket", "k")).alias("places"))  # at most one for each code
+    there = coded.join(places, "cls").withColumn("codes", F.transform("codes", lambda c: F.when(F.array_contains("places.bucket", c), c).otherwise(F.lit(0))))
     blocks = F.ceil(F.col("place.k") / F.lit(bucket_size)).cast("int")
-    sent = coded.join(places, "cls").select("cls", "n", "vec", "codes", F.explode("places").alias("place"))
+    sent = there.select("cls", "n", "vec", "codes", F.explode("places").alias("place"))
     sent = sent.withColumn("block", F.pmod(F.hash("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     sent = sent.select(F.col("place.bucket").alias("bucket"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "vec", "codes")
     dealt = sent.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
@@ -197,7 +205,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None
             flat = np.frombuffer(b"".join(vec.to_pylist()), kind).astype(np.float64)
             sizes = pc.binary_length(vec).to_numpy() // np.dtype(kind).itemsize
             at = np.cumsum(sizes) - sizes
-            least = codes.min(axis=(1, 2))
+            least = np.where(codes == 0, np.iinfo(np.int64).max, codes).min(axis=(1, 2))
             pairs = []
             for dim in np.unique(sizes).tolist():  # vectors of one bucket are of one length
                 groups = sizes[starts] == dim
@@ -228,8 +236,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None
     scratch.drop("crowded")
     roots = components(found.where("b is not null").select("a", "b"), scratch)
     counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    result = coded.select("cls", "n", "h1", "h2").join(counts, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    result = scratch.keep(result.select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("component_id")), "result")
+    rooted = coded.select("cls", "least", "n", "h1", "h2").join(counts, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = scratch.keep(rooted, "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    result = rooted.join(smallest, "root").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    result = scratch.keep(result, "result")
     fine = rows.where("ok").select("vec_id", *keys).join(result, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fine.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
