@@ -8,9 +8,11 @@ passages.  What a passage has before its first boundary and after its last is no
 a shorter run is extended byte by byte into its document's and its keeper's text, and counts if the two agree on
 ``WHOLE`` words or more.  A passage without a whole chunk inside, or whose chunks all have other keepers, is not found.
 
-Defined cases: null and empty texts have no chunks; a null doc_id cannot be named and takes no part; rows with one
-doc_id count as one document; what a document repeats within itself only is left alone; an empty table gives an empty
-result; chunks end after ``LARGEST`` bytes at the latest, so constant text is cut too.
+Defined cases: null and empty texts have no chunks; rows alike in doc_id and text count as one document; a row whose
+doc_id does not tell its text (null, or on different texts) is a document of its own, after all others, and its spans
+name its text by ``text_key``; what a document repeats within itself only is left alone; an empty table gives an empty
+result; chunks end after ``LARGEST`` bytes at the latest, in text without a boundary where the hash is least, so periodic
+text is cut at the same phase everywhere.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ AVERAGE, LARGEST, MIN_WORDS, WINDOW, WHOLE = 24, 256, 25, 16, 50
 REACH = 2 * LARGEST
 #: A pseudorandom 16-bit value for each byte.
 GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256).astype(np.uint16)
+#: Documents that their doc_id does not tell get numbers from here on.
+UNTOLD = 1 << 62
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -49,19 +53,45 @@ def cut_points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     A boundary needs a whole window within its text, so the cuts of a text never depend on its neighbours.
     """
     n = len(data)
-    ends = np.flatnonzero(gear(data) < np.uint16((1 << 16) // AVERAGE)) + 1
+    hashed = gear(data)
+    ends = np.flatnonzero(hashed < np.uint16((1 << 16) // AVERAGE)) + 1
     own = starts[np.searchsorted(starts, ends - 1, side="right") - 1]
     points = np.union1d(ends[ends - own >= WINDOW], np.append(starts, n))
     size = np.diff(points)
     far = np.flatnonzero(size > LARGEST)
-    if len(far):
-        more = [np.arange(points[i] + LARGEST, points[i + 1], LARGEST) for i in far.tolist()]
-        points = np.union1d(points, np.concatenate(more))
+    more = []
+    for i in far.tolist():
+        at, end = int(points[i]), int(points[i + 1])
+        while end - at > LARGEST:
+            at += LARGEST // 2 + 1 + int(hashed[at + LARGEST // 2 : at + LARGEST].argmin())
+            more.append(at)
+    if more:
+        points = np.union1d(points, more)
     return points
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, size (bytes), words, around (words of the chunk before, and 1,000 times those of the next), digest
+def documents(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """doc, id, h, text (binary) of every different document, and whether ``doc`` is not always its doc_id."""
+    key = F.xxhash64("text")
+    ids = scratch.keep(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), key.alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")), "ids")
+    several = scratch.keep(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(f"id is not null and (n > 1 or id >= {UNTOLD})").select("id"), "several")
+    again = ids.where("n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    n_again, n_none = ids.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("id").isNull())).first()
+    n_several = several.count()
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), key.alias("h"), F.col("text").cast("binary").alias("text"))
+    if n_again:
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+        twice = bounded(again, n_again)
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["id", "h"]))
+    if not n_several and not n_none:
+        return rows.withColumn("doc", F.col("id")), False
+    rows = rows.join(bounded(several.withColumn("_several", F.lit(True)), n_several), "id", "left")
+    own = F.lit(UNTOLD) + F.xxhash64("id", F.isnull("id"), "h").bitwiseAND(F.lit(UNTOLD - 1))
+    return rows.withColumn("doc", F.when(F.isnull("id") | F.col("_several"), own).otherwise(F.col("id"))).drop("_several"), True
+
+
+def chunks(texts: DataFrame) -> DataFrame:
+    """Of rows (doc, text): doc_id, start, size (bytes), words, around (words of the chunk before, and 1,000 times those of the next), digest
     (64-bit) of every chunk of every text."""
     schema = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("words", pa.int32()), ("around", pa.int32()), ("digest", pa.int64())]
     digest = xxhash.xxh64_intdigest
@@ -93,17 +123,18 @@ def chunks(docs: DataFrame) -> DataFrame:
                 around[:-1] += 1000 * words[1:] * same
                 yield batch(schema, doc_id=ids[own], start=points[:-1] - starts[own], size=np.diff(points).astype(np.int32), words=words, around=around, digest=digests)
 
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return map_arrow(texts, run, "doc_id long, start long, size int, words int, around int, digest long")
+    return map_arrow(texts.select("doc", "text"), run, "doc_id long, start long, size int, words int, around int, digest long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, size (bytes), words, keep_doc_id: passages of a document that an earlier document keeps.
+    """doc_id, start, size (bytes), words, keep_doc_id, text_key: passages of a document that an earlier document keeps.
 
-    keep_doc_id is the keeper of the longest chunk of the passage.
+    keep_doc_id is the keeper of the longest chunk of the passage; text_key (xxhash64 of the text) is null where the
+    doc_id alone tells the document.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    every = scratch.keep(chunks(docs), "chunks")
+    texts, untold = documents(docs, scratch)
+    every = scratch.keep(chunks(texts), "chunks")
     keepers = every.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_last")).where("keep <> _last").drop("_last")
     keepers = scratch.keep(keepers, "keepers")
     # a digest may be in a third of all documents: both sides come from files, so adaptive execution can split it
@@ -141,7 +172,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = scratch.keep(map_arrow(dealt.select("doc_id", "start", "size", "words", "around", "keep"), runs, f"{ddl}, short boolean"), "runs")
     scratch.drop("repeated")
     names = ["doc_id", "start", "size", "words", "keep_doc_id"]
-    return found.where("not short").select(*names).unionByName(extended(docs, scratch.keep(found.where("short").select(*names), "short"), scratch))
+    spans = found.where("not short").select(*names).unionByName(extended(texts, scratch.keep(found.where("short").select(*names), "short"), scratch))
+    if not untold:
+        return spans.withColumn("text_key", F.lit(None).cast("long"))
+    told = texts.where(F.col("doc") >= UNTOLD).select("doc", "id", "h")
+    keeper = told.select(F.col("doc").alias("keep_doc_id"), F.col("id").alias("keep_id"))
+    spans = spans.join(told.withColumnRenamed("doc", "doc_id"), "doc_id", "left").join(keeper, "keep_doc_id", "left")
+    mine, other = (F.when(F.col(c) >= UNTOLD, F.col(i)).otherwise(F.col(c)) for c, i in (("doc_id", "id"), ("keep_doc_id", "keep_id")))
+    return spans.select(mine.alias("doc_id"), "start", "size", "words", other.alias("keep_doc_id"), F.col("h").alias("text_key"))
 
 
 def agreement(mine: bytes, at: int, size: int, other: bytes) -> tuple[int, int, int]:
@@ -160,10 +198,10 @@ def agreement(mine: bytes, at: int, size: int, other: bytes) -> tuple[int, int,
     return best
 
 
-def extended(docs: DataFrame, short: DataFrame, scratch: Scratch) -> DataFrame:
+def extended(texts: DataFrame, short: DataFrame, scratch: Scratch) -> DataFrame:
     """Of ``short`` (a written table of chunks: doc_id, start, size, words, keep_doc_id) the passages around them that hold ``WHOLE`` words."""
     n = short.count()
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = texts.select(F.col("doc").alias("doc_id"), "text")
     at = F.greatest(F.col("start") - REACH, F.lit(0))
     window = F.substring("text", (at + 1).cast("int"), (F.col("start") - at + F.col("size") + REACH).cast("int"))
     near = texts.join(bounded(short, n), "doc_id").select("doc_id", at.alias("from"), (F.col("start") - at).alias("at"), "size", F.col("keep_doc_id").alias("keep"), window.alias("mine"))
@@ -214,14 +252,23 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         rows = zip(text, starts, sizes, strict=True)
         return pd.Series([t if t is None or a is None else without(t.encode(), list(zip(a.tolist(), n.tolist(), strict=True))).decode() for t, a, n in rows], dtype=object)
 
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))  # of one document
-    joined = docs.join(lists, "doc_id", "left")
+    lists = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))  # of one document
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))  # a struct, so that no name can clash
+    plain = lists.where("text_key is null").select(F.col("doc_id").alias("_of"), "_spans")
+    joined = rows.join(plain, F.col("_id") == F.col("_of"), "left").select("_row", "_id", "_spans")
+    told = lists.where("text_key is not null")
+    if spans.where("text_key is not null").limit(1).count():
+        told = told.select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_key"), F.col("_spans").alias("_own"))
+        same = F.col("_id").eqNullSafe(F.col("_of")) & (F.xxhash64("_row.text") == F.col("_key"))
+        joined = joined.join(told, same, "left").select("_row", F.coalesce("_spans", "_own").alias("_spans"))
     # only texts with spans go through Python
-    new = F.when(F.col("_spans").isNotNull() & F.col("text").isNotNull(), cut("text", "_spans.start", "_spans.size")).otherwise(F.col("text"))
-    out = joined.withColumn("text", new)
+    text = F.col("_row.text")
+    new = F.when(F.col("_spans").isNotNull() & text.isNotNull(), cut(text, F.col("_spans.start"), F.col("_spans.size"))).otherwise(text)
+    out = joined.withColumn("_text", new)
+    cols = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        cols["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length("_text").cast("long")).otherwise(F.col("_row.n_chars"))
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

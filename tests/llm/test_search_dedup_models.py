@@ -166,7 +166,7 @@ def test_repeated_passages_are_caught_and_clean_texts_are_not(spark):
         rows.append((2 * i, f"{prose(80, 200 + i)} {p} {prose(30, 300 + i)}"))
         rows.append((2 * i + 1, f"{prose(17 + i, 400 + i)} {p}"))
         want.add(2 * i + 1)
-    rows += [(1000 + i, prose(200, 500 + i)) for i in range(40)] + [(2000, ""), (2001, None), (None, passages[0]), (2002, "ü" * 900)]
+    rows += [(1000 + i, prose(200, 500 + i)) for i in range(40)] + [(2000, ""), (2001, None), (2002, "ü" * 900)]
     df = docs_of(spark, rows)
     got = substrings.repeated_spans(df).collect()
     assert {r.doc_id for r in got} == want
@@ -207,6 +207,43 @@ def test_whole_copies(spark):
     assert sorted((r.doc_id, r.keep_doc_id, r.start, r.size) for r in got) == [(4, 2, 0, len(text)), (9, 2, 0, len(text))]
 
 
+def test_periodic_text_is_cut_at_one_phase(spark):
+    rows = [(i, prose(20 + i, 40 + i) + " " + w * 400 + prose(9, 60 + i)) for i, w in enumerate(["and "] * 6 + ["a"] * 3 + ["ab cde, "] * 3)]
+    got = substrings.repeated_spans(docs_of(spark, rows)).collect()
+    longest = Counter()
+    for r in got:
+        longest[r.doc_id] = max(longest[r.doc_id], r.size)
+    assert {i for i in longest if rows[i][1].count(" ") > 50} == {1, 2, 3, 4, 5, 9 + 1, 9 + 2}
+    assert all(longest[i] > 0.75 * len(w) * 400 for i, w in [(1, "and "), (5, "and "), (10, "ab cde, "), (11, "ab cde, ")])
+
+
+def test_spans_belong_to_a_text(spark):
+    """Repeated and null ids: each different text has its own spans, equal rows the same ones."""
+    p, q = prose(80, 1), prose(90, 2)
+    first, second, third = f"{prose(30, 3)} {p}", f"{p} {prose(300, 4)}", f"{prose(120, 5)} {q} {prose(5, 6)}"
+    rows = [(1, p), (3, q), (5, first), (5, second), (5, third), (5, third), (None, fourth := f"{prose(30, 33)} {q}"), (None, "x y"), (6, p), (6, p)]
+    df = spark.createDataFrame([(*r, 1, "s", 7) for r in rows], "doc_id long, text string, start int, _spans string, n_chars long")
+    spans = substrings.repeated_spans(df)
+    by_text = {(i, t): [] for i, t in rows}
+    for r in spans.collect():
+        texts = [t for i, t in set(rows) if i == r.doc_id and (r.text_key is None or r.text_key == spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])]
+        assert len(texts) == 1 and r.keep_doc_id in (1, 3)
+        span = texts[0].encode()[r.start : r.start + r.size]
+        assert span in (p if r.keep_doc_id == 1 else q).encode()
+        by_text[r.doc_id, texts[0]].append(len(span.split()))
+    assert {k: len(v) for k, v in by_text.items()} == {(1, p): 0, (3, q): 0, (5, first): 1, (5, second): 1, (5, third): 1, (None, fourth): 1, (None, "x y"): 0, (6, p): 1}
+    assert min(n for v in by_text.values() for n in v) > 60
+    out = substrings.remove_spans(df, spans).collect()
+    assert set(out[0].asDict()) == set(df.columns) and len(out) == len(rows)
+    ends = Counter()
+    for r in out:
+        shared = max(sum((Counter(r.text.split()) & Counter(x.split())).values()) for x in (p, q))
+        ends[r.doc_id, shared > 70] += 1
+        assert shared > 70 or shared < 40
+    assert ends == {(1, True): 1, (3, True): 1, (5, False): 4, (None, False): 2, (6, False): 2}
+    assert all(r.n_chars == len(r.text) for r in out if r.doc_id in (5, 6)) and {r.start for r in out} == {1}
+
+
 def test_spans_are_cut_at_words():
     assert substrings.without("aa bbb cc dd".encode(), [(1, 7)]).decode() == "aa cc dd"
     assert substrings.without("äö üü äö".encode(), [(5, 5)]).decode() == "äö äö"
