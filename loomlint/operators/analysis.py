@@ -2,7 +2,7 @@
 
 One Arrow pass parses each source once and asks all idiom rules of it; the syntax rules are SQL over the lines of the
 sources that did not parse; diagnostics, where there are any, join by source.  Files are independent, so apart from
-that join nothing is shuffled.
+that join nothing is shuffled, and nothing is parsed twice.
 """
 
 from __future__ import annotations
@@ -80,12 +80,13 @@ def analyze(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iter
     ``diagnostics`` (what a compiler said) take the place of derived ones; ``rules`` picks idiom rules.
     """
     rows = parsed(source, rules, derive and diagnostics is None).withColumn("syntax", F.when(~F.col("parses"), _syntax_issues()))
-    stopped = F.coalesce(F.size("syntax") > 0, F.lit(False))
-    out = rows.select("source_id", F.explode(F.when(stopped, F.col("syntax")).otherwise(F.col("issues"))).alias("i")).select("source_id", "i.*")
+    found = F.col("issues")
     if diagnostics is not None:
-        held = rows.where(stopped).select("source_id")
-        out = out.unionByName(semantic.issues(diagnostics).join(held, "source_id", "left_anti"))
-    return out
+        told = semantic.issues(diagnostics).groupBy("source_id").agg(F.collect_list(F.struct("phase", "rule", "module", "message", "line", "rule_ord", "issue_ord")).alias("_told"))
+        rows = rows.join(told, "source_id", "left")
+        found = F.concat(F.coalesce("_told", F.array().cast(told.schema["_told"].dataType)), found)
+    stopped = F.coalesce(F.size("syntax") > 0, F.lit(False))
+    return rows.select("source_id", F.explode(F.when(stopped, F.col("syntax")).otherwise(found)).alias("i")).select("source_id", "i.*")
 
 
 def verdicts(source: DataFrame, issues: DataFrame) -> DataFrame:

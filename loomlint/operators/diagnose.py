@@ -12,8 +12,7 @@ import re
 from collections.abc import Iterator
 
 from loomlint.functions.elixir import Node
-from loomlint.functions.tree import Function, Tree, keyed, local, pipe, statements
-from loomlint.operators.matcher import defined
+from loomlint.functions.tree import Function, Tree, function, keyed, local, pipe, statements
 from loomlint.operators.semantic import LOCAL_FIXES, QUALIFIED_FIXES, RULES
 
 #: (severity, message, line)
@@ -87,20 +86,50 @@ def _calls(t: Tree) -> Iterator[Diagnostic]:
             yield "warning", f"{n.target.name}.{n.name}/{arity} {what}", n.line
         elif n.target.name == "String" and n.name == "alphanumeric?":
             yield "warning", f"String.alphanumeric?/{arity} is undefined or private", n.line
-    for module in t.nodes:
-        if not local(module, "defmodule", 2) or module.args[0].kind != "alias":
-            continue
-        own = {(name, arity) for name, arity, _ in defined(t, module.args[0].name)}
-        top = statements(keyed(module.args[1], "do"))
-        if any(local(s) and s.name in ("import", "use") for s in top):
-            continue  # what they bring in is not known
-        for s in top:
-            if local(s) and s.name in TEST_MACROS and len(s.args) >= 1 and (s.name, len(s.args)) not in own:
-                yield "error", f"undefined function {s.name}/{len(s.args)} (there is no such import)", s.line
-        for n in module.walk():
-            arity = len(n.args) + (id(n) in piped) if n.kind == "call" else 0
-            if local(n) and (n.name, arity) in LOCAL_FIXES and (n.name, arity) not in own and not _is_head(t, n):
-                yield "error", f"undefined function {n.name}/{arity} (expected {module.args[0].name} to define such a function or for it to be imported)", n.line
+    inner: set[int] = set()
+    for module in t.nodes:  # outer modules come first
+        if local(module, "defmodule", 2) and module.args[0].kind == "alias" and id(module) not in inner:
+            inner.update(id(n) for n in module.walk())
+            yield from _local_calls(t, module, set(), piped)
+
+
+def _own(module: Node) -> Iterator[Node]:
+    """Nodes of a module but those of modules inside it, which are only named."""
+    stack = [module.args[1]]
+    while stack:
+        n = stack.pop()
+        yield n
+        if not local(n, "defmodule", 2):
+            stack.extend(reversed(n.children()))
+
+
+def _local_calls(t: Tree, module: Node, outer: set[tuple[str, int]], piped: set[int]) -> Iterator[Diagnostic]:
+    """Calls in a module of functions that neither it nor a module around it defines; then the modules inside it."""
+    top, nodes = statements(keyed(module.args[1], "do")), list(_own(module))
+    if any(local(s) and s.name in ("import", "use") for s in top):
+        return  # what they bring in is not known, here and inside
+    own = outer | _functions(top)
+    for s in top:
+        if local(s) and s.name in TEST_MACROS and len(s.args) >= 1 and (s.name, len(s.args)) not in own:
+            yield "error", f"undefined function {s.name}/{len(s.args)} (there is no such import)", s.line
+    for n in nodes:
+        arity = len(n.args) + (id(n) in piped) if n.kind == "call" else 0
+        if local(n) and (n.name, arity) in LOCAL_FIXES and (n.name, arity) not in own and not _is_head(t, n):
+            yield "error", f"undefined function {n.name}/{arity} (expected {module.args[0].name} to define such a function or for it to be imported)", n.line
+    for n in nodes:
+        if local(n, "defmodule", 2) and n.args[0].kind == "alias":
+            yield from _local_calls(t, n, own, piped)
+
+
+def _functions(top: list[Node]) -> set[tuple[str, int]]:
+    """(name, arity) of what statements define."""
+    out = set()
+    for s in top:
+        if f := function(s):
+            out.add((f.name, len(f.params or [])))
+        elif local(s) and s.name in ("def", "defp", "defmacro", "defmacrop") and s.args and s.args[0].kind in ("call", "var"):
+            out.add((s.args[0].name, len(s.args[0].args)))
+    return out
 
 
 def _is_head(t: Tree, n: Node) -> bool:

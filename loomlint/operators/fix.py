@@ -1,7 +1,11 @@
 """Fix a corpus: syntax, then diagnostics, then idioms, each source on its own.
 
 The idiom rules run in the order of their priority; each sees what the one before left.  A rewrite that would not parse
-is not taken.  Sources are independent, so this is one Arrow pass without a shuffle; diagnostics join by source first.
+is not taken.  Sources are independent: the line rules are SQL over the lines of a row, the rest is one Arrow pass, so
+nothing is shuffled; supplied diagnostics join by source first.  Rows that share a source_id are sources of their own.
+
+A rule takes one turn, in which it rewrites all that it reports.  Rewrites are edits of spans, and what lies within the
+span of another edit follows in a round of the same turn, ``ROUNDS`` at most.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from loomlint.plans import patterns
 from loomlint.plans.rewrites import REWRITES, apply
 from loomlint.session import ship_package
 
-PASSES, AGAIN = 3, 10
+PASSES, ROUNDS = 3, 10
 
 
 def parses(code: str) -> bool:
@@ -40,101 +44,148 @@ def tree_of(code: str) -> Tree | None:
         return None
 
 
-def fix_idioms(code: str, rules: Iterable[str] | None = None) -> tuple[str, list[tuple[str, int]]]:
-    """A source after the idiom rewrites, and (rule, number of its issues) for each rule that changed it.
+Step = tuple[str, int, str, str]  # rule, number of its issues, text before, text after
 
-    A text is parsed once and serves all rules until one changes it.
-    """
-    wanted, applied = None if rules is None else set(rules), []
+
+def idiom_steps(code: str, rules: Iterable[str] | None = None) -> list[Step]:
+    """A step for each idiom rule that reports something; a text is parsed once and serves all rules until one changes it."""
+    wanted, out = None if rules is None else set(rules), []
     tree = tree_of(code)
     if tree is None:
-        return code, applied
+        return out
     for r in patterns.RULES:
         if r.module not in REWRITES or wanted is not None and r.module not in wanted:
             continue
-        first = 0
-        for turn in range(AGAIN):
+        before, first = tree.code, 0
+        for _ in range(ROUNDS):
             n = sum(1 for _ in r.check(tree))
-            if not n:
-                break
-            new = apply(tree.code, REWRITES[r.module](tree))
+            first = first or n
+            new = apply(tree.code, REWRITES[r.module](tree)) if n else tree.code
             after = tree_of(new) if new != tree.code else None
             if after is None:
                 break
-            first, tree = n if not turn else first, after
+            tree = after
         if first:
-            applied.append((r.module, first))
-    return tree.code, applied
+            out.append((r.module, first, before, tree.code))
+    return out
 
 
-def fix_diagnosed(code: str, diagnostics: list[tuple]) -> tuple[str, list[tuple[str, int]]]:
-    """A source after the fixes of its dispatched diagnostics (module, message, line), in order."""
-    applied: dict[str, int] = {}
+def told_steps(code: str, diagnostics: Iterable[tuple]) -> list[Step]:
+    """A step for each dispatched diagnostic (module, message, line), in order."""
+    out = []
     for module, message, line in diagnostics:
-        code = semantic.rewrite(code, module, message, line)
-        applied[module] = applied.get(module, 0) + 1
-    return code, list(applied.items())
+        before, code = code, semantic.rewrite(code, module, message, line)
+        out.append((module, 1, before, code))
+    return out
 
 
-def fix_derived(code: str) -> tuple[str, list[tuple[str, int]], bool]:
-    """A source after the fixes of its derived diagnostics, in up to ``PASSES`` passes, and whether no error is left.
+def derived_steps(code: str) -> list[Step]:
+    """Steps for derived diagnostics, in up to ``PASSES`` passes.
 
     While there are errors, they are fixed and the source is looked at again; a pass over warnings is the last.
     """
-    applied: dict[str, int] = {}
+    out: list[Step] = []
     for _ in range(PASSES):
         if not parses(code):
             break
         found = diagnose(Tree(code))
-        failed = any(s == "error" for s, _, _ in found)
-        new, some = fix_diagnosed(code, [(module, message, line) for _, module, _, message, line in taken(found)])
-        for module, n in some:
-            applied[module] = applied.get(module, 0) + n
-        changed, code = new != code, new
-        if not failed or not changed:
+        some = told_steps(code, [(module, message, line) for _, module, _, message, line in taken(found)])
+        out += some
+        changed, code = bool(some) and some[-1][3] != code, some[-1][3] if some else code
+        if not changed or not any(s == "error" for s, _, _ in found):
             break
-    clean = parses(code) and not any(s == "error" for s, _, _ in diagnose(Tree(code)))
-    return code, list(applied.items()), clean
+    return out
 
 
-def fix(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> DataFrame:
-    """source_id, code, applied (rule and count, in order) of every source.
+def compiles(code: str) -> bool:
+    """Whether a source parses and no error can be told from it."""
+    return parses(code) and not any(s == "error" for s, _, _ in diagnose(Tree(code)))
+
+
+def _after(code: str, steps: list[Step]) -> str:
+    return steps[-1][3] if steps else code
+
+
+def _applied(steps: list[Step]) -> list[tuple[str, int]]:
+    return [(module, n) for module, n, _, _ in steps]
+
+
+def fix_idioms(code: str, rules: Iterable[str] | None = None) -> tuple[str, list[tuple[str, int]]]:
+    """A source after the idiom rewrites, and (rule, number of its issues) for each rule that took a turn."""
+    steps = idiom_steps(code, rules)
+    return _after(code, steps), _applied(steps)
+
+
+def fix_diagnosed(code: str, diagnostics: Iterable[tuple]) -> tuple[str, list[tuple[str, int]]]:
+    """A source after the fixes of its dispatched diagnostics (module, message, line), and an entry for each."""
+    steps = told_steps(code, diagnostics)
+    return _after(code, steps), _applied(steps)
+
+
+def fix_derived(code: str) -> tuple[str, list[tuple[str, int]], bool]:
+    """A source after the fixes of its derived diagnostics, an entry for each, and whether no error is left."""
+    steps = derived_steps(code)
+    return _after(code, steps), _applied(steps), compiles(_after(code, steps))
+
 
-    Without ``diagnostics`` they are derived, and idioms are left alone in a source that has errors.
+def fix_steps(code: str, lines: list[tuple[str, str]], told: list[tuple] | None, errors: int, rules: Iterable[str] | None) -> list[Step]:
+    """Every step of a fix, in order.
+
+    ``lines`` are the texts after each line rule, taken if the code does not parse.  ``told`` are dispatched diagnostics,
+    of ``errors`` errors in all; None derives them.  Idioms are left alone while an error is left: one that no rule took,
+    whose rule changed nothing, or that can be told from the text after it.
     """
+    out: list[Step] = []
+    if not parses(code):
+        for module, after in lines:
+            out.append((module, 1, _after(code, out), after))
+    now = _after(code, out)
+    more = derived_steps(now) if told is None else told_steps(now, told)
+    out += more
+    solved = told is None or errors <= sum(a != b for _, _, a, b in more)
+    if solved and compiles(_after(now, more)):
+        out += idiom_steps(_after(now, more), rules)
+    return out
+
+
+def _stepped(source: DataFrame, diagnostics: DataFrame | None, rules: Iterable[str] | None, derive: bool, schema_: pa.Schema, ddl: str, rows_of) -> DataFrame:
+    """``rows_of`` (source_id, code, steps) for each source, in one Arrow pass."""
     ship_package(source.sparkSession)
-    wanted, derived = None if rules is None else tuple(rules), derive and diagnostics is None
-    # the syntax rewrites are SQL; they are taken where the text did not parse
-    fixed = syntax.fix_lines(source).withColumnsRenamed({"code": "_code", "applied": "_syntax"})
-    rows = source.select("source_id", "code").join(fixed, "source_id", "left")
+    wanted = None if rules is None else tuple(rules)
+    rows = syntax.fix_lines(source.select(F.col("source_id").cast("long").alias("source_id"), "code", F.col("code").alias("_code")), steps=True)
+    rows = rows.select("source_id", F.col("_code").alias("code"), "steps")
     if diagnostics is not None:
-        told = semantic.dispatched(diagnostics).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "module", "message", "line"))).alias("_told"))
-        rows = rows.join(told, "source_id", "left")
+        told = semantic.dispatched(diagnostics).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "module", "message", "line"))).alias("told"))
+        failed = diagnostics.groupBy("source_id").agg(F.count_if(F.col("severity") == "error").cast("int").alias("errors"))
+        rows = rows.join(told, "source_id", "left").join(failed, "source_id", "left")
     else:
-        rows = rows.withColumn("_told", F.lit(None).cast("array<struct<ord:int,module:string,message:string,line:int>>"))
-    out = pa.schema([("source_id", pa.int64()), ("code", pa.string()), ("applied", pa.list_(pa.struct([("rule", pa.string()), ("count", pa.int32())])))])
+        rows = rows.select("*", F.lit(None).cast("array<struct<ord:int,module:string,message:string,line:int>>").alias("told"), F.lit(0).alias("errors"))
+    derived = derive and diagnostics is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, codes, applied = [], [], []
+            out = []
             for row in b.to_pylist():
-                code, done = row["code"], []
-                if code is not None:
-                    if row["_code"] is not None and not parses(code):
-                        code, done = row["_code"], [(x["rule"], x["count"]) for x in row["_syntax"] or []]
-                    if derived:
-                        code, more, clean = fix_derived(code)
-                    else:
-                        code, more = fix_diagnosed(code, [(x["module"], x["message"], x["line"]) for x in row["_told"] or []])
-                        clean = True
-                    code, last = fix_idioms(code, wanted) if clean else (code, [])
-                    done += more + last
-                ids.append(row["source_id"])
-                codes.append(code)
-                applied.append([{"rule": r, "count": n} for r, n in done])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.string()), pa.array(applied, out.field(2).type)], schema=out)
-
-    return rows.select("source_id", "code", "_code", "_syntax", "_told").mapInArrow(run, schema.FIX)
+                lines = [(x["rule"], x["code"]) for x in row["steps"] or []]
+                told = None if derived else [(x["module"], x["message"], x["line"]) for x in row["told"] or []]
+                steps = [] if row["code"] is None else fix_steps(row["code"], lines, told, row["errors"] or 0, wanted)
+                out += rows_of(row["source_id"], row["code"], steps)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema_)], schema=schema_)
+
+    return rows.select("source_id", "code", "steps", "told", "errors").mapInArrow(run, ddl)
+
+
+def fix(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> DataFrame:
+    """source_id, code, applied (rule and count, an entry for each application, in order) of every source.
+
+    Without ``diagnostics`` they are derived; idioms are left alone in a source that has errors left.
+    """
+    out = pa.schema([("source_id", pa.int64()), ("code", pa.string()), ("applied", pa.list_(pa.struct([("rule", pa.string()), ("count", pa.int32())])))])
+
+    def rows_of(source_id, code, steps):
+        return [(source_id, _after(code, steps), [{"rule": r, "count": n} for r, n in _applied(steps)])]
+
+    return _stepped(source, diagnostics, rules, derive, out, schema.FIX, rows_of)
 
 
 def fix_and_analyze(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -143,38 +194,17 @@ def fix_and_analyze(source: DataFrame, diagnostics: DataFrame | None = None, rul
     return fixed, analyze(fixed.select("source_id", F.lit(None).cast("string").alias("path"), "code"), rules=rules, derive=derive)
 
 
-def steps(code: str, rules: Iterable[str] | None = None) -> Iterator[tuple[str, str, str]]:
-    """(rule, text before, text after) of every rule that changes a source, in the order in which ``fix`` applies them."""
-    if not parses(code):
-        return  # the line rules are SQL: see ``syntax.fix_lines``
-    new, applied, clean = fix_derived(code)
-    if new != code:
-        yield "+".join(m for m, _ in applied), code, new
-    if clean:
-        for r in patterns.RULES:
-            if r.module in REWRITES and (rules is None or r.module in rules):
-                before, (new, _) = new, fix_idioms(new, [r.module])
-                if new != before:
-                    yield r.module, before, new
-
-
-def traced(source: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
-    """source_id, step, rule, op, line_no, text: the lines that each rule of a fix changes."""
-    ship_package(source.sparkSession)
-    wanted = None if rules is None else tuple(rules)
+def traced(source: DataFrame, diagnostics: DataFrame | None = None, rules: Iterable[str] | None = None, derive: bool = True) -> DataFrame:
+    """source_id, step, rule, op, line_no, text: the lines that each step of a fix changes.
+
+    Steps are numbered as the entries of ``applied``; one that changes nothing has a row without op, line and text.
+    """
     out = pa.schema([("source_id", pa.int64()), ("step", pa.int32()), ("rule", pa.string()), ("op", pa.string()), ("line_no", pa.int32()), ("text", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (source_id, k, rule, op, line, text)
-                for source_id, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                for k, (rule, before, after) in enumerate(steps(code or "", wanted))
-                for op, line, text in trace(before, after)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+    def rows_of(source_id, code, steps):
+        return [(source_id, k, rule, *change) for k, (rule, _, before, after) in enumerate(steps) for change in trace(before, after) or [(None, None, None)]]
 
-    return source.select("source_id", "code").mapInArrow(run, "source_id long, step int, rule string, op string, line_no int, text string")
+    return _stepped(source, diagnostics, rules, derive, out, "source_id long, step int, rule string, op string, line_no int, text string", rows_of)
 
 
 def trace(before: str, after: str) -> list[tuple[str, int, str]]:
@@ -188,4 +218,4 @@ def trace(before: str, after: str) -> list[tuple[str, int, str]]:
     return out
 
 
-__all__ = ["fix", "fix_and_analyze", "fix_diagnosed", "fix_idioms", "steps", "trace", "traced"]
+__all__ = ["fix", "fix_and_analyze", "fix_derived", "fix_diagnosed", "fix_idioms", "fix_steps", "trace", "traced"]

@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlint.sources.corpus import joined, lines
+from loomlint.sources.corpus import lines
 
-#: Words that other languages put before a definition.
+#: Words that other languages put before a definition, and the patterns of the lines that match.
 MODIFIERS = ["pprivate", "private", "public", "protected", "static", "abstract", "final", "async", "pub", "export"]
 _SCIENTIFIC = r"(?<!\.)(\d+)[eE]([+-]?\d+)"
 _MODULO = r"(\w+)\s*%\s*(\w+)(?!\.)"
@@ -33,8 +33,9 @@ def _comment(text: Column) -> Column:
 
 
 def _infix(text: Column, op: str) -> Column:
+    """Both forms have the operator between spaces, which most lines do not: that is asked first."""
     pattern = rf"(?<![|>.])\b\S+\)\s+{op}\s+\w|(?<![|>.])\b\w+\s+{op}\s+\w"
-    return ~_comment(text) & text.rlike(pattern)
+    return F.when(text.contains(op), text.rlike(rf"\s{op}\s") & ~_comment(text) & text.rlike(pattern)).otherwise(F.lit(False))
 
 
 def _infix_issues(text: Column) -> list[tuple[Column, Column, Column]]:
@@ -130,22 +131,23 @@ def analyze_lines(source: DataFrame, only: set[str] | None = None) -> DataFrame:
     )
 
 
-def fix_lines(source: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """source_id, code, applied: every text with all rewrites, in the rules' order, and the rules that changed it."""
-    row = lines(source)
-    text = F.col("text")
-    steps = []
-    for rule in RULES:
-        if only is None or rule.module in only:
-            after = F.col(f"_{steps[-1][1]}") if steps else text
-            name = rule.module
-            row = row.withColumn(f"_{name}", rule.rewrite(after)).withColumn(f"_c{name}", ~F.col(f"_{name}").eqNullSafe(after))
-            steps.append((rule, name))
-    last = F.col(f"_{steps[-1][1]}") if steps else text
-    changed = [F.max(f"_c{name}").alias(f"_c{name}") for _, name in steps]
-    got = row.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_no", last.alias("text")))).alias("_all"), *changed)
-    applied = F.array_compact(F.array(*[F.when(F.col(f"_c{name}"), F.struct(F.lit(rule.module).alias("rule"), F.lit(1).alias("count"))) for rule, name in steps]))
-    return got.select("source_id", F.array_join(F.transform("_all", lambda x: x["text"]), "\n").alias("code"), applied.alias("applied"))
-
-
-__all__ = ["RULES", "SyntaxRule", "analyze_lines", "fix_lines", "joined"]
+def fix_lines(source: DataFrame, only: set[str] | None = None, steps: bool = False) -> DataFrame:
+    """source_id, code, applied: every text with all rewrites, in the rules' order, and the rules that changed it.
+
+    A text stays in its row: the rules go over its lines as an array.  With ``steps`` a last column holds the text after
+    each rule that changed it, as (rule, code).
+    """
+    row = source.select("*", F.split("code", "\n", -1).alias("_0"))
+    rules = [r for r in RULES if only is None or r.module in only]
+    for k, r in enumerate(rules):
+        row = row.withColumn(f"_{k + 1}", F.transform(f"_{k}", r.rewrite))
+    text = lambda k: F.array_join(f"_{k}", "\n")
+    changed = [F.when(F.col(f"_{k}") != F.col(f"_{k + 1}"), F.struct(F.lit(r.module).alias("rule"), F.lit(1).alias("count"))) for k, r in enumerate(rules)]
+    out = [text(len(rules)).alias("code"), F.array_compact(F.array(*changed)).alias("applied")]
+    if steps:
+        each = [F.when(F.col(f"_{k}") != F.col(f"_{k + 1}"), F.struct(F.lit(r.module).alias("rule"), text(k + 1).alias("code"))) for k, r in enumerate(rules)]
+        out.append(F.array_compact(F.array(*each)).alias("steps"))
+    return row.select("source_id", *out, *[c for c in source.columns if c not in ("source_id", "code")])
+
+
+__all__ = ["RULES", "SyntaxRule", "analyze_lines", "fix_lines"]

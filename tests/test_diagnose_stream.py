@@ -25,6 +25,9 @@ from loomlint.streaming.files import watch_folder, write_issues
         ("defmodule M do\n  def len(x), do: x\n  def f(x), do: len(x)\nend", []),
         ("defmodule M do\n  use N\n  def f(x), do: len(x)\nend", []),
         ('defmodule M do\n  @doc """\n bad\n  """\n  def f, do: 1\nend', ["outdented heredoc line"]),
+        ("defmodule M do\n  defmodule N do\n    def sum(xs), do: xs\n    def g(xs), do: sum(xs)\n  end\nend", []),
+        ("defmodule M do\n  def len(x), do: x\n  defmodule N do\n    def g(xs), do: {len(xs), sorted(xs)}\n  end\nend", ["undefined function sorted/1 (expected N to define such a function or for it to be imported)"]),
+        ("defmodule M do\n  import X\n  defmodule N do\n    def g(xs), do: len(xs)\n  end\nend", []),
         ('defmodule T do\n  test "x" do\n    1\n  end\nend', ["undefined function test/2 (there is no such import)"]),
     ],
 )

@@ -171,18 +171,58 @@ def test_fix_with_diagnostics_then_leftovers(spark):
     assert left.count() == 0
 
 
+def test_rows_that_share_an_id_are_sources_of_their_own(spark):
+    source = spark.createDataFrame([(1, None, "a = 1\nx = 7 rem 2\nb"), (1, None, "(\nb = 2"), (None, None, "Enum.at(xs, -1)")], "source_id long, path string, code string")
+    assert sorted((str(r.source_id), r.code) for r in fix.fix(source).collect()) == [("1", "(\nb = 2"), ("1", "a = 1\nx = rem(7, 2)\nb"), ("None", "List.last(xs)")]
+    plan = fix.fix(source)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_line_rewrites_keep_rows_and_columns(spark):
+    source = spark.createDataFrame([(1, "x", "  private defp f(x), do: x % 2\n"), (1, "y", None), (2, "z", "")], "source_id long, path string, code string")
+    got = {(r.source_id, r.path): (r.code, [a.rule for a in r.applied]) if r.code is not None else None for r in syntax.fix_lines(source).collect()}
+    assert got == {(1, "x"): ("  defp f(x), do: rem(x, 2)\n", ["FixPythonModulo", "FixStaleAccessModifier"]), (1, "y"): None, (2, "z"): ("", [])}
+
+
+def test_idioms_wait_for_supplied_errors(spark):
+    code = "def f(xs), do: Enum.at(xs, -1) + g(xs)"
+    told = lambda *rows: spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], DIAG)
+    kept = fix.fix(corpus(spark, code), told(("error", 'undefined variable "q"', 1, 1))).first()  # no rule takes it
+    assert (kept.code, kept.applied) == (code, [])
+    idle = fix.fix(corpus(spark, code), told(("error", "undefined function sorted/1", 1, 1))).first()  # its rule changes nothing
+    assert (idle.code, [tuple(a) for a in idle.applied]) == (code, [("UndefinedFunction", 1)])
+    done = fix.fix(corpus(spark, code), told(("warning", 'variable "q" is unused', 1, 1))).first()
+    assert [tuple(a) for a in done.applied] == [("UnusedVariable", 1), ("NoEnumAtNegativeIndex", 1)] and "List.last(xs)" in done.code
+
+
+def test_an_entry_for_each_application(spark):
+    done = fix.fix(corpus(spark, "def f(a, b), do: 1", "x = 7 div 2 + 9 % 4")).collect()
+    assert [[tuple(a) for a in r.applied] for r in done] == [[("UnusedVariable", 1), ("UnusedVariable", 1)], [("FixDivRem", 1), ("FixPythonModulo", 1)]]
+
+
+def test_analyze_with_diagnostics_parses_once(spark):
+    told = spark.createDataFrame([(1, 0, "warning", 'variable "x" is unused', 1, None), (2, 0, "warning", 'variable "y" is unused', 1, None)], DIAG)
+    found = analysis.analyze(corpus(spark, "Enum.at(xs, -1)", "x = 7 div 2", "a"), told)
+    assert [(r.source_id, r.rule) for r in found.orderBy("source_id", "phase", F.desc("rule")).collect()] == [(1, "no_enum_at_negative_index"), (1, "unused_variable"), (2, "infix_div")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_trace():
     assert fix.trace("a\nb", "a\nc\nd") == [("removed", 2, "b"), ("added", 2, "c"), ("added", 3, "d")]
 
 
 def test_traced_fix(spark):
-    source = corpus(spark, "def f(xs, n) do\n  Enum.at(xs, -1)\nend", "x", None)
+    source = corpus(spark, "def f(xs, n) do\n  Enum.at(xs, -1)\nend", "x", None, "a = 7 div 2\nb = Enum.sort(a) |> hd()")
     got = sorted((r.source_id, r.step, r.rule, r.op, r.line_no, r.text.strip()) for r in fix.traced(source).collect())
     assert got == [
         (1, 0, "UnusedVariable", "added", 1, "def f(xs, _n) do"),
         (1, 0, "UnusedVariable", "removed", 1, "def f(xs, n) do"),
         (1, 1, "NoEnumAtNegativeIndex", "added", 2, "List.last(xs)"),
         (1, 1, "NoEnumAtNegativeIndex", "removed", 2, "Enum.at(xs, -1)"),
+        (4, 0, "FixDivRem", "added", 1, "a = div(7, 2)"),
+        (4, 0, "FixDivRem", "removed", 1, "a = 7 div 2"),
+        (4, 1, "NoSortForTopK", "added", 2, "b = Enum.min(a)"),
+        (4, 1, "NoSortForTopK", "removed", 2, "b = Enum.sort(a) |> hd()"),
     ]
 
 
