@@ -7,6 +7,7 @@ rows, ``vocabulary_`` derived equivalences.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from loomlint.functions import vocabulary
 from loomlint.operators import analysis, fix, matcher, semantic, syntax
-from loomlint.plans import fixtures, patterns, relational, rule_sql
+from loomlint.plans import expected, fixtures, patterns, relational, rule_sql
+from loomlint.plans.rewrites import REWRITES
 from loomlint.session import ship_package
-from loomlint.sources.corpus import diff, fixture_corpus, lines, read_table
+from loomlint.sources.corpus import FIXTURES, diff, fixture_corpus, lines, read_table
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,17 +37,43 @@ def _document_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines(_documents(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text").cast("long")).alias("chars"))
 
 
+#: Lines of our own that the line rules take or leave, beside the documents: (source_id, code).
+LINES = [
+    (-1, "x = n * 3 div 2\ny = f(a) rem b\n# a div b\nx |> div(2)\nz = a div b rem c"),
+    (-2, "@spec g(list(atom()) :: atom())\n  @spec k?(x :: y :: z)\n@spec h(a :: b) :: c\n@spec u(a\n@spec v(atom() :: {atom(), integer()})"),
+    (-3, "n % 2 == 1\nn % 25.0\n  # n % 2\nn % a.b\nf(n%10, m %k)\n%{a: 1}"),
+    (-4, "x = 1e-9 + 1.5e3\n1.55e3\n  # 1e5\n12E+4, 7e8"),
+    (-5, "  private defp f(x), do: x\npprivate def g, do: 1\nasync defmacro h(x), do: x\ndef private, do: 1\npublic  def k, do: 2"),
+]
+
+
+def _with_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf).unionByName(spark.createDataFrame([(i, None, code) for i, code in LINES], "source_id long, path string, code string"))
+
+
 def _syntax(module: str, spark: SparkSession, sf: str) -> DataFrame:
-    return syntax.analyze_lines(_documents(spark, sf), {module}).select("source_id", "rule", F.col("line").cast("long").alias("line"))
+    return syntax.analyze_lines(_with_lines(spark, sf), {module}).select("source_id", "rule", F.col("line").cast("long").alias("line"))
 
 
 def _syntax_fix(module: str, spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the documents that the rule's rewrite changes, before and after."""
-    docs = _documents(spark, sf)
+    """Lines that the rule's rewrite changes, before and after."""
+    docs = _with_lines(spark, sf)
     return diff(docs, syntax.fix_lines(docs, {module})).select("source_id", "op", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
-_LINES = "line AS (SELECT doc_id AS source_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+def _text(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def _rows_sql(name: str, columns: str, rows: list[tuple]) -> str:
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows) + ")"
+
+
+_DOCUMENT_LINES = "line AS (SELECT doc_id AS source_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+_LINES = (
+    _rows_sql("own", "doc_id, text", LINES)
+    + ", line AS (SELECT doc_id AS source_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM (SELECT doc_id, text FROM documents UNION ALL SELECT CAST(doc_id AS BIGINT), text FROM own))"
+)
 _NOT_COMMENT = r"NOT regexp_matches(text, '^\s*#')"
 
 
@@ -53,9 +81,33 @@ def _line_sql(rule: str, pattern: str, extra: str = "") -> str:
     return f"WITH {_LINES} SELECT source_id, '{rule}' AS rule, line FROM line WHERE regexp_matches(text, '{pattern}') {extra}"
 
 
+def _changed_sql(where: str, new: str, more: str = "") -> str:
+    """Lines before and after, of those with a condition (``where``) that the expression ``new`` changes."""
+    changed = f"changed AS (SELECT source_id, line AS line_no, text, {new} AS new FROM line WHERE {where})"
+    return f"WITH {_LINES}, {more}{changed} SELECT source_id, 'removed' AS op, line_no, text FROM changed WHERE text <> new UNION ALL SELECT source_id, 'added', line_no, new FROM changed WHERE text <> new"
+
+
 def _fix_sql(pattern: str, replacement: str, extra: str = "") -> str:
-    changed = f"changed AS (SELECT source_id, line AS line_no, text, regexp_replace(text, '{pattern}', '{replacement}', 'g') AS new FROM line WHERE regexp_matches(text, '{pattern}') {extra})"
-    return f"WITH {_LINES}, {changed} SELECT source_id, 'removed' AS op, line_no, text FROM changed WHERE text <> new UNION ALL SELECT source_id, 'added', line_no, new FROM changed WHERE text <> new"
+    return _changed_sql(f"regexp_matches(text, '{pattern}') {extra}", f"regexp_replace(text, '{pattern}', '{replacement}', 'g')")
+
+
+def _infix_fix_sql() -> str:
+    # RE2 has no lookbehind: the character before the operand is matched instead
+    text = "text"
+    for op in ("div", "rem"):
+        match = rf"regexp_matches({text}, '(^|[^|>.])\b\S+\)\s+{op}\s+\w|(^|[^|>.])\b\w+\s+{op}\s+\w')"
+        text = rf"CASE WHEN {match} THEN regexp_replace({text}, '^(\s*(?:\w+\s*=\s*)?)(.+?)\s+{op}\s+(.+?)(\s*)$', '\1{op}(\2, \3)\4') ELSE {text} END"
+    return _changed_sql(_NOT_COMMENT + r" AND regexp_matches(text, '\s(div|rem)\s')", text)
+
+
+#: A spec line taken apart: where its first parenthesis closes, and the last `::` outside parentheses within.
+_SPEC_SQL = r"""
+spec AS (SELECT source_id, line, text, regexp_extract(text, '^(\s*@spec\s+\w+[?!]?)\(', 1) AS head FROM line WHERE regexp_matches(text, '^\s*@spec\s+\w+[?!]?\(')),
+rest AS (SELECT *, substr(text, length(head) + 2) AS rest FROM spec),
+closed AS (SELECT *, list_min([i for i in range(1, length(rest) + 1) if length(replace(rest[1:i], '(', '')) - length(replace(rest[1:i], ')', '')) = 1]) AS shut FROM rest),
+inside AS (SELECT *, rest[1:shut - 1] AS inner_, rest[shut + 1:] AS after FROM closed WHERE shut IS NOT NULL),
+parted AS (SELECT *, list_max([i for i in range(1, length(inner_)) if inner_[i:i + 1] = '::' AND length(replace(inner_[1:i], '(', '')) = length(replace(inner_[1:i], ')', ''))]) AS sep FROM inside),
+bad AS (SELECT source_id, line AS line_no, text, concat(head, '(', rtrim(inner_[1:sep - 1]), ') :: ', ltrim(inner_[sep + 2:])) AS new FROM parted WHERE sep IS NOT NULL AND NOT contains(after, '::'))"""
 
 
 def _infix_sql() -> str:
@@ -90,10 +142,6 @@ def _dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return semantic.dispatched(_diagnostics(spark)).select("source_id", "ord", "rule", "line")
 
 
-def _rows_sql(name: str, columns: str, rows: list[tuple]) -> str:
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
-
-
 _DISPATCH_SQL = (
     "WITH "
     + _rows_sql("d", "source_id, ord, severity, message, line, col", DIAGNOSTICS)
@@ -190,6 +238,16 @@ def _pattern(module: str, spark: SparkSession, sf: str) -> DataFrame:
     return analysis.analyze(source, rules=[module], derive=False).select("source_id", "rule", F.col("line").cast("long").alias("line"))
 
 
+def _pattern_fix(module: str, spark: SparkSession, sf: str) -> DataFrame:
+    """The fixture sources of an idiom rule after its rewrite."""
+    source = spark.createDataFrame(fixtures.sources(module), "source_id long, path string, code string")
+    return fix.fix(source, rules=[module], derive=False).select("source_id", "code", F.size("applied").cast("long").alias("n_applied"))
+
+
+def _analyzed_fixtures(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.analyze(fixture_corpus(spark)).select("source_id", "phase", "rule", F.col("line").cast("long").alias("line"))
+
+
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.catalog(spark)
 
@@ -204,6 +262,52 @@ def _fixed(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_id", "code", F.size("applied").cast("long").alias("n_applied"))
 
 
+def _values(columns: dict[str, str], rows: list[tuple]) -> str:
+    """Rows as values, each column cast to its type."""
+    cast = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in columns.items())
+    return f"WITH {_rows_sql('v', ', '.join(columns), rows or [tuple([None] * len(columns))])} SELECT {cast} FROM v" + ("" if rows else " WHERE false")
+
+
+def _issue_name(module: str) -> str:
+    return expected.NAMES.get(module, re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", module).lower())
+
+
+def _pattern_sql(module: str) -> str:
+    """A row for each report that the fixtures declare, in the lines written out for them or else the first."""
+    rows = [(i, _issue_name(module), line) for i, (_, n) in enumerate(fixtures.CASES[module][0], 1) for line in expected.LINES.get((module, i), [1] * n)]
+    return _values({"source_id": "BIGINT", "rule": "VARCHAR", "line": "BIGINT"}, rows)
+
+
+def _pattern_fix_sql(module: str) -> str:
+    bad, clean = fixtures.CASES[module]
+    rows = [(i, code, 1) for i, code in enumerate(expected.REWRITTEN[module], 1)] + [(i, code, 0) for i, code in enumerate(clean, 1001)]
+    return _values({"source_id": "BIGINT", "code": "VARCHAR", "n_applied": "BIGINT"}, rows)
+
+
+def _catalog_sql() -> str:
+    rows = [("syntax", None, m, 500, True) for m in expected.SYNTAX]
+    rows += [("semantic", _issue_name(m), m, expected.PLACES.get(m, 500), True) for m in expected.SEMANTIC]
+    rows += [("pattern", _issue_name(m), m, expected.PLACES.get(m, 500), m not in expected.REPORT_ONLY) for m in fixtures.CASES]
+    return _values({"phase": "VARCHAR", "rule": "VARCHAR", "module": "VARCHAR", "priority": "INTEGER", "fixable": "BOOLEAN"}, rows)
+
+
+def _fixed_sql() -> str:
+    codes = dict(FIXTURES)
+    for i, _, before, after in expected.CHANGES:
+        codes[i] = codes[i].replace(before, after)
+    return _values({"source_id": "BIGINT", "code": "VARCHAR", "n_applied": "BIGINT"}, [(i, code, int(code != dict(FIXTURES)[i])) for i, code in codes.items()])
+
+
+def _traced_sql() -> str:
+    rows = [(i, 0, rule, op, 2, text) for i, rule, before, after in expected.CHANGES for op, text in (("removed", before), ("added", after))]
+    return _values({"source_id": "BIGINT", "step": "INTEGER", "rule": "VARCHAR", "op": "VARCHAR", "line_no": "INTEGER", "text": "VARCHAR"}, rows)
+
+
+def _verdicts_sql() -> str:
+    counts = [(i, sum(x[0] == i for x in expected.ISSUES)) for i, _ in FIXTURES]
+    return _values({"source_id": "BIGINT", "valid": "BOOLEAN", "n_issues": "BIGINT"}, [(i, not n, n) for i, n in counts])
+
+
 _S = r"(\d+)[eE]([+-]?\d+)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lines": _document_lines,
@@ -214,23 +318,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matcher_candidates": _candidates,
     "semantic_fixes": _semantic_fixes,
     "analyze_corpus": _analyzed,
+    "analyze_fixtures": _analyzed_fixtures,
     "catalog": _catalog,
     "verdicts": _verdicts,
     "fix_corpus": _fixed,
     "fix_trace": lambda spark, sf: fix.traced(fixture_corpus(spark)),
     **{f"pattern_{r.module}": partial(_pattern, r.module) for r in patterns.RULES if r.module in fixtures.CASES},
+    **{f"pattern_fix_{m}": partial(_pattern_fix, m) for m in fixtures.CASES if m in REWRITES},
     **relational.QUERIES,
     **vocabulary.QUERIES,
 }
 _STALE = r"^(\s*)(" + "|".join(sorted(syntax.MODIFIERS, key=lambda m: -len(m))) + r")\s+(defp?|defmacrop?)\b"
 _MODULO = r"(\w+)\s*%\s*(\w+)"
 ORACLES: dict[str, str] = {
-    "lines": f"WITH {_LINES} SELECT source_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM line GROUP BY source_id",
+    "lines": f"WITH {_DOCUMENT_LINES} SELECT source_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM line GROUP BY source_id",
     "syntax_FixDivRem": _infix_sql(),
     "syntax_FixPythonModulo": _line_sql("python_modulo", _MODULO + r"($|[^.\w]|\w)", "AND " + _NOT_COMMENT),
     "syntax_FixScientificNotation": _line_sql("python_scientific_notation", r"(^|[^.])" + _S, "AND " + _NOT_COMMENT),
     "syntax_FixStaleAccessModifier": _line_sql("stale_access_modifier", _STALE),
     "syntax_fix_FixStaleAccessModifier": _fix_sql(_STALE, r"\1\3"),
+    "syntax_FixMalformedSpec": f"WITH {_LINES}, {_SPEC_SQL} SELECT source_id, 'malformed_spec' AS rule, line_no AS line FROM bad",
+    "syntax_fix_FixMalformedSpec": f"WITH {_LINES}, {_SPEC_SQL} SELECT source_id, 'removed' AS op, line_no, text FROM bad UNION ALL SELECT source_id, 'added', line_no, new FROM bad",
+    "syntax_fix_FixDivRem": _infix_fix_sql(),
+    # RE2 has no lookahead: what follows the second operand is matched too, and of one before a dot a character less
+    "syntax_fix_FixPythonModulo": _fix_sql(r"(\w+)\s*%\s*(?:(\w+)(\w\.)|(\w+)($|[^.\w]))", r"rem(\1, \2\4)\3\5", "AND " + _NOT_COMMENT),
+    "syntax_fix_FixScientificNotation": _fix_sql(r"(^|[^.])" + _S, r"\1\2.0e\3", "AND " + _NOT_COMMENT),
+    "analyze_fixtures": _values({"source_id": "BIGINT", "phase": "VARCHAR", "rule": "VARCHAR", "line": "BIGINT"}, expected.ISSUES),
+    "verdicts": _verdicts_sql(),
+    "catalog": _catalog_sql(),
+    "fix_corpus": _fixed_sql(),
+    "fix_trace": _traced_sql(),
+    "semantic_fixes": _values({"module": "VARCHAR", "message": "VARCHAR", "before": "VARCHAR", "after": "VARCHAR"}, [(*d, after) for d, after in zip(DIAGNOSED, expected.DIAGNOSED, strict=True)]),
+    **{f"pattern_{m}": _pattern_sql(m) for m in fixtures.CASES},
+    **{f"pattern_fix_{m}": _pattern_fix_sql(m) for m in expected.REWRITTEN},
     "semantic_dispatch": _DISPATCH_SQL,
     "matcher_scores": _SCORE_SQL,
     "matcher_candidates": _CANDIDATES_SQL,
