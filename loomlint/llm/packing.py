@@ -37,7 +37,12 @@ CAPACITY = 2048
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """ids of a text by a vocabulary file: ranks (.tiktoken, special tokens from a JSON of that name) or a tokenizer's JSON; both give the same ids."""
+    """ids of a text by a vocabulary file: ranks (.tiktoken, special tokens from a JSON of that name) or a tokenizer's JSON,
+    which give the same ids, or a sentence-piece model."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).encode
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 

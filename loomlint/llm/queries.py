@@ -9,7 +9,7 @@ from .quality import op8_quality
 from .sharding import op7_ring_shards
 from .simhash import op10_simhash
 from .substrings import op2_substring_dedup
-from .token_counts import OP3_SQL, op3_token_counts
+from .token_counts import op3_token_counts
 from .topk import OP5_SQL, op5_topk
 from .vectors import OP1_SQL, op1_embedding_dedup
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_token_counts": OP3_SQL, "op5_topk": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op5_topk": OP5_SQL}

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ NATIVE: Mapping[str, Callable[[Column], Column]] = {
     "words@1": lambda text: F.regexp_count(text, F.lit(WORD)),
     "bytes@1": F.octet_length,
 }
+#: Tokenizer versions of the query: plain ones, and vocabulary files.
+VERSIONS: Mapping[str, Callable[[Column], Column] | str] = {
+    **NATIVE,
+    "byte_bpe_50k@1": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    "piece_bpe_32k@1": public_tokenizers.path("piece_bpe_32k.model"),
+}
 KEYS = ["source", "lang", "tokenizer"]
 
 
@@ -96,7 +103,7 @@ class Ledger:
         """Apply a batch of signed rows once; False if it was committed before."""
         if name in self.committed():
             return False
-        rolled(changes).coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batches/{name}")
+        rolled(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batches/{name}")
         return True
 
     def totals(self) -> DataFrame:
@@ -115,17 +122,17 @@ class Ledger:
         name = f"{int(snapshot) + 1 if snapshot else 0:012d}"
         totals = self.totals()
         self.spark.createDataFrame([(n,) for n in sorted(whole)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/included/{name}")
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
+        totals.write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
         for n in self._whole("batches"):
             if n in whole:
                 self._fs.delete(self._at(f"{self.path}/batches/{n}"), True)
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents after inserts in 4 batches, a batch that takes a quarter back, its replay, and its revision."""
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: Mapping[str, Callable[[Column], Column] | str] = VERSIONS) -> DataFrame:
+    """Totals by source, language and tokenizer version (words, bytes, and tokens of two vocabularies) of all documents after inserts in 4 batches, a batch that takes a quarter back, its replay, and its revision."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     scratch = Scratch(spark, "counts")
-    counts = scratch.keep(counted(docs, NATIVE).withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.lit(0))), "counts")
+    counts = scratch.keep(counted(docs, tokenizers).withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.lit(0))), "counts")
     ledger = Ledger(spark, f"{scratch.root}/ledger")
     for part in range(4):
         ledger.commit(f"insert-{part}", counts.where(F.col("part") == part).withColumn("sign", F.lit(1)))
@@ -141,7 +148,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
-OP3_SQL = r"""
+#: Of the rows of the plain tokenizer versions; vocabularies have no SQL form.
+NATIVE_SQL = r"""
 SELECT source, lang, 'words@1' AS tokenizer, count(*) AS docs, CAST(coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0) AS BIGINT) AS tokens
 FROM documents GROUP BY source, lang
 UNION ALL

@@ -529,6 +529,41 @@ def test_counts_by_tokenizer(spark):
     assert got == {(1, "words@1"): 3, (1, "bytes@1"): 19, (1, "bpe@1"): len(ids)} | {(i, t): 0 for i in (2, 3) for t in ("words@1", "bytes@1", "bpe@1")}
 
 
+def test_totals_by_brute_force(spark, sf):
+    """The query's totals after its inserts, deletes, replays and revisions: the plain versions by SQL, the others by the libraries."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    got = sorted((str((r.source, r.lang, r.tokenizer)), r.docs, r.tokens) for r in token_counts.op3_token_counts(spark, sf).collect())
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = [(str((s, lang, t)), n, k) for s, lang, t, n, k in c.sql(token_counts.NATIVE_SQL).fetchall()]
+    whole = {
+        "byte_bpe_50k@1": lambda t, k=Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")): len(k.encode(t, add_special_tokens=False).ids),
+        "piece_bpe_32k@1": lambda t, k=sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")): len(k.encode(t)),
+    }
+    docs, sums = Counter(), Counter()
+    for source, lang, text in c.sql("select source, lang, text from documents").fetchall():
+        for name, count in whole.items():
+            docs[source, lang, name] += 1
+            sums[source, lang, name] += count(text or "")
+    assert got == sorted(want + [(str(k), n, sums[k]) for k, n in docs.items()])
+
+
+def test_counts_of_odd_tables(spark):
+    """Nulls, repeated rows and clashing columns, with a plain version and a vocabulary."""
+    import public_tokenizers
+
+    Scratch(spark, "t")
+    rows = [(1, "a b", "s", "en", 1, 2), (1, "a b", "s", "en", 1, 2), (None, None, None, None, 1, 2), (2, " " * 200_000, "s", None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int, tokenizer int")
+    counts = token_counts.counted(df, {"words@1": token_counts.NATIVE["words@1"], "bpe@1": public_tokenizers.path("byte_bpe_50k.tiktoken")})
+    got = Counter((r.doc_id, r.tokenizer, r.tokens) for r in counts.collect())
+    assert got == Counter([(1, "words@1", 2)] * 2 + [(1, "bpe@1", 2)] * 2 + [(None, "words@1", 0), (None, "bpe@1", 0), (2, "words@1", 0), (2, "bpe@1", 200_000)])
+    assert token_counts.counted(df.limit(0), token_counts.VERSIONS).count() == 0
+
+
 # -- queries
 
 
