@@ -253,14 +253,49 @@ def test_spans_are_cut_at_words():
 # -- quality
 
 
+def split(good, mixed):
+    """Rows as a table holds them: positives are among the unlabelled texts."""
+    return quality.total_over(np.vstack([good, mixed]), np.arange(len(good) + len(mixed)) < len(good))
+
+
 def test_the_risk_is_non_negative_learning():
     rng = np.random.default_rng(1)
-    good, bad = rng.normal(1, 1, (2000, 5)), rng.normal(-1.5, 1, (500, 5))
-    mixed = np.vstack([rng.normal(1, 1, (2000, 5)), bad])
-    model = quality.fit(good, mixed, 0.8)
+    good, bad = rng.normal(1, 1, (300, 5)), rng.normal(-1.5, 1, (500, 5))
+    mixed = np.vstack([rng.normal(1, 1, (1700, 5)), bad])
+    model = quality.fit(split(good, mixed), 5, 0.8)
     assert (model.score(rng.normal(1, 1, (1000, 5))) >= 0.5).mean() > 0.95
     assert (model.score(rng.normal(-1.5, 1, (1000, 5))) < 0.5).mean() > 0.9
-    assert quality.fit(np.zeros((0, 5)), mixed, 0.5).score(mixed).tolist() == [0.5] * len(mixed)
+    assert quality.fit(split(np.zeros((0, 5)), mixed), 5, 0.5).score(mixed).tolist() == [0.5] * len(mixed)
+
+
+def test_steps_go_down_the_risk_and_its_second_term_stays_non_negative():
+    """The risk by its definition, with every text in memory."""
+    rng = np.random.default_rng(4)
+    good, mixed = rng.normal(0.5, 1, (60, 8)), np.vstack([rng.normal(0.5, 1, (150, 8)), rng.normal(-0.5, 1, (60, 8))])
+    every, p = np.vstack([good, mixed]), 0.7
+    loss = lambda f: np.logaddexp(0, -f)
+    risks = []
+    for steps in range(7):
+        m = quality.fit(split(good, mixed), 8, p, 0.01, steps)
+        f, g = ((x - m.mean) / m.scale @ m.weights + m.bias for x in (every, good))
+        rest = loss(-f).mean() - p * loss(-g).mean()
+        assert rest >= -1e-6
+        risks.append(p * loss(g).mean() + max(0, rest) + (0.01 + 9 / len(every)) * (m.weights @ m.weights + m.bias**2) / 2)
+    assert risks[0] == pytest.approx(math.log(2)) and all(a >= b - 1e-9 for a, b in zip(risks, risks[1:], strict=False)) and risks[-1] < 0.9 * risks[0]
+
+
+def test_sums_over_a_table_are_those_in_memory(spark):
+    """The distributed fit against the same fit of rows in memory, all texts and all positives; odd rows included."""
+    rows = [(i, prose(30 + i % 50, i) if i % 3 else "$$ !! AA " * (i % 20)) for i in range(240)] + [(5, "other text"), (5, None), (None, "x y z"), (300, "")]
+    df, labels = docs_of(spark, rows), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 240, 2)] + [(4, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    got = quality.train(df, labels)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    known = {i for i in range(0, 240, 2) if i % 3 and not held(i)}
+    mine = [(i, quality.features((t or "").encode() if t is not None else None)) for i, t in rows if not held(i)]
+    x, pos = np.array([f for _, f in mine], np.float64), np.array([i in known for i, _ in mine])
+    told = [q for i, q in [(i, int(i % 3 != 0)) for i in range(0, 240, 2)] + [(4, 0)] if not held(i)]
+    want = quality.fit(quality.total_over(x, pos), quality.N_FEATURES, float(np.mean(told)))
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.weights, want.weights, atol=1e-6) and got.bias == pytest.approx(want.bias, abs=1e-6)
 
 
 def test_held_out_quality(spark):
@@ -286,10 +321,13 @@ def test_features_of_odd_texts(spark):
     for t in (None, b"", b" ", b"\n\n", b"x" * 100_000, "é".encode() * 1000):
         assert quality.features(t).shape == (quality.N_FEATURES,) and np.isfinite(quality.features(t)).all()
     Scratch(spark, "t")
-    model = quality.fit(np.zeros((0, quality.N_FEATURES)), np.zeros((1, quality.N_FEATURES)), 0.5)
-    df = docs_of(spark, [(1, None), (None, ""), (1, None)])
-    assert quality.scored(df, model).count() == 3 and quality.kept_documents(df, model).count() == 3
+    df = spark.createDataFrame([(1, None, 1), (None, "", 2), (1, None, 1)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    rows = quality.featured(df, labels, Scratch(spark, "t"))
+    model = quality.trained(rows, labels)  # no positives
+    assert [r.score for r in quality.scored(rows, model).collect()] == [0.5] * 3 and quality.kept_documents(df, model).collect() == df.collect()
     assert quality.kept_documents(df.limit(0), model).columns == df.columns
+    assert quality.train(df.limit(0), labels.limit(0)).bias == 0
 
 
 # -- vectors
