@@ -96,7 +96,9 @@ def draw_counts(sources: Sequence[Source], shards: int, seed: int) -> list[tuple
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A keyed permutation of 0..size-1 for each row: a four-round Feistel network on the next even power of two, walked
-    until it falls below size."""
+    until it falls below size, which it does for each index below size."""
+    if (index >= size).any():
+        raise ValueError("an index is not below its size")
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     value = index.astype(np.uint64)
@@ -172,7 +174,9 @@ def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max
     index = F.col("slot") - F.col("turn") * F.col("blocks")
     upto = F.when(F.col("slot") == F.col("_slots") - 1, F.col("last")).otherwise(F.lit(block_words)).cast("long")
     # whole blocks are permuted; the shorter one keeps its place at the end of a pass
-    block = F.when(F.col("_at") < F.col("full"), block_permutation(seed)(F.col("_at"), F.greatest("full", F.lit(1).cast("long")), F.col("source_id"), F.col("turn"))).otherwise(F.col("full"))
+    size = F.greatest("full", F.lit(1).cast("long"))
+    within = F.least("_at", size - 1)  # the function is asked for all rows, and knows numbers below the size only
+    block = F.when(F.col("_at") < F.col("full"), block_permutation(seed)(within, size, F.col("source_id"), F.col("turn"))).otherwise(F.col("full"))
     slots = slots.withColumn("_at", index).select("shard", "source_id", "slot", "turn", block.alias("block"), upto.alias("upto"))
     slots = scratch.keep(slots, "slots")  # written: the planner takes an exploded literal for a tiny table, and would broadcast it
     return Mixture(sources, placed.unionByName(none), slots, pieces, longest)
