@@ -17,23 +17,25 @@ from loomlint.llm.substrings import remove_spans, repeated_spans
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    Scratch(spark, "quality")
+    """Documents that the classifier, trained on all of them, rejects go."""
     return kept_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (fingerprints within 2 bits, or 5-word Jaccard similarity of 0.8) the smallest doc_id stays."""
+    """Of each group of near copies (fingerprints within 2 bits, or 5-word Jaccard similarity of 0.8) the smallest doc_id stays.
+
+    Rows are told apart by doc_id and text; of wholly equal rows one stays.
+    """
     return one_of_each(docs, similarity=0.8, words=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document keeps are cut from the others."""
+    """Passages that an earlier document keeps are cut from the others; every row stays."""
     return remove_spans(docs, repeated_spans(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 1, 2, 3 in turn; a document comes once for each pass that takes words of it."""
+    """Sources weigh 1, 2, 3 in turn; a document comes once for each pass that takes words of it, with the words taken."""
     return mixed_documents(docs, block_words=1024)
 
 
