@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch, counted_classes, enumerated, literal_table, partitions, running_offsets, word_count
+from ._common import Scratch, counted_classes, enumerated, literal_table, partitions, running_offsets, with_sizes
 
 
 class Source(NamedTuple):
@@ -129,7 +129,7 @@ class Mixture(NamedTuple):
     sources: list[Source]
     docs: DataFrame  # key, source_id, size, source_size, target, copies of the row, start (of this copy; null without words)
     slots: DataFrame  # shard, source_id, slot, turn, block, upto (words of the block that the slot takes)
-    pieces: DataFrame  # source_id, block, key, start, from_word (in the document), at (in the block), words
+    pieces: DataFrame  # source_id, block, key, start and size (of the document), from_word (in the document), at (in the block), words
     longest: int  # the most copies of a row
 
 
@@ -139,9 +139,8 @@ def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max
     Rows alike in key, source and number of words are interchangeable.
     """
     spark = docs.sparkSession
-    size = word_count(F.col("text"))
     named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = scratch.keep(counted_classes(docs.select(*key, named.alias("named"), size.alias("size"))), "sized")
+    sized = scratch.keep(counted_classes(with_sizes(docs.select(*key, named.alias("named"), "text"), "text")), "sized")
     groups = sized.groupBy("named").agg(F.sum(F.col("size") * F.col("copies")), F.max("copies")).collect()  # a row per source
     sources = plan_sources([(k[1:] if k[0] == "s" else None, int(n)) for k, n, _ in groups], cycle, max_repeats, block_words)
     longest = max((m for _, _, m in groups), default=0)
@@ -161,7 +160,7 @@ def mix(docs: DataFrame, scratch: Scratch, cycle: Sequence[int] = (1, 2, 3), max
     pieces = placed.select(*key, "source_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor(last / length))).alias("block"))
     lo = F.greatest(F.col("block") * length, F.col("start"))
     hi = F.least((F.col("block") + 1) * length, F.col("start") + F.col("size"))
-    pieces = pieces.select("source_id", "block", *key, "start", (lo - F.col("start")).alias("from_word"), (lo - F.col("block") * length).alias("at"), (hi - lo).alias("words"))
+    pieces = pieces.select("source_id", "block", *key, "start", "size", (lo - F.col("start")).alias("from_word"), (lo - F.col("block") * length).alias("at"), (hi - lo).alias("words"))
     drawn = literal_table(spark, counts, "shard int, source_id int, first bigint, n bigint").repartition("shard", "source_id")
     drawn = drawn.join(small(table.select("source_id", "full", "blocks", F.col("slots").alias("_slots"), "last")), "source_id")
     # long runs are cut before they are spread, so that no task enumerates a source alone
@@ -244,9 +243,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = mixture.slots.select("source_id", "block", "turn", "upto").join(mixture.pieces, ["source_id", "block"])
     parts = parts.withColumn("words", F.expr(_TAKEN)).where("words > 0")
     part = F.struct("from_word", "words")
-    taken = parts.groupBy("source_id", "start", *key, "turn").agg(F.sum("words").alias("_n"), F.array_sort(F.collect_list(part)).alias("_parts"))  # of one document
-    text, count = F.col("_row.text"), F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0))
-    both = _one_of_each(keyed, mixture, key).join(taken.select(*key, "_n", "_parts"), key).withColumn("_whole", F.col("_n") == count)
+    taken = parts.groupBy("source_id", "start", *key, "size", "turn").agg((F.sum("words") == F.col("size")).alias("_whole"), F.array_sort(F.collect_list(part)).alias("_parts"))  # of one document
+    text = F.col("_row.text")
+    both = _one_of_each(keyed, mixture, key).join(taken.select(*key, "_whole", "_parts"), key)
     cut = both.withColumn("_words", F.when(~F.col("_whole"), _words("_row.text")))
     some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
     out = cut.withColumn("_text", F.when(F.col("_whole"), text).otherwise(some))

@@ -384,6 +384,16 @@ def test_packed_sequences(spark, docs):
 # -- shared helpers
 
 
+def test_word_counts():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a", " a", "a ", "a\tb\nc\x0bd\x0ce\rf", "é ü\u00a0x  東京", "x" * 1000 + " ", None, "\x1c a"]
+    want = [len(WORD.findall(t or "")) for t in texts]
+    assert _common.word_counts(pa.array(texts)).tolist() == want
+    assert _common.word_counts(pa.array(["q q", *texts, "z"]).slice(1, len(texts))).tolist() == want
+    assert _common.word_counts(pa.array([], pa.string())).tolist() == [] and _common.word_counts(pa.array([None], pa.string())).tolist() == [0]
+
+
 def test_running_offsets(spark):
     df = spark.createDataFrame([(i % 3 if i % 4 else 0, i, i % 5) for i in range(500)], "g int, k int, w int")
     got = _common.running_offsets(df, "g", ["k"], "w").collect()
