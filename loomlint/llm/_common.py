@@ -17,6 +17,8 @@ from loomlint.session import ship_package
 LOCAL_SCRATCH = "/tmp/checkpoints/loomlint"
 #: A table of at most so many slim rows (16 to 64 bytes each) may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows of a slim table for each file and task, where their number is known before.
+FILE_ROWS = 50_000
 #: The word pattern of all word-level operators, as Java, Python and RE2 read it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,7 +85,10 @@ class Scratch:
             root = LOCAL_SCRATCH
         self.root = f"{root.rstrip('/')}/loomlint/{what}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df``, written and read again; if it has ``rows`` slim rows at most, by as many tasks as these are worth."""
+        if rows is not None and -(-rows // FILE_ROWS) < partitions(self.spark):
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         path = f"{self.root}/{name}"
         conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = conf.get(key, "false")
@@ -230,8 +235,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     an edge to another node are not in the result.
     """
 
-    def least(directed: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        mins = scratch.keep(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{tag}")
+    def least(directed: DataFrame, tag: str, most: int) -> tuple[DataFrame, DataFrame]:
+        mins = scratch.keep(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{tag}", most)
         return mins, bounded(mins, mins.count())
 
     def mark(e: DataFrame) -> tuple:
@@ -241,13 +246,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     was, turn, old = mark(e), 0, f"{name}-0"
     while was[0]:
         turn += 1
+        most = 2 * was[0]  # a step makes no more rows than there are edges in both directions
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        _, mins = least(both, f"large-{turn}")
+        _, mins = least(both, f"large-{turn}", most)
         large = both.join(mins, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large, f"{name}-{turn}l")
-        _, mins = least(large, f"small-{turn}")
+        large = scratch.keep(large, f"{name}-{turn}l", most)
+        _, mins = least(large, f"small-{turn}", most)
         small = large.join(mins, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(mins.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = scratch.keep(small.where("a <> b").distinct(), f"{name}-{turn}")
+        e = scratch.keep(small.where("a <> b").distinct(), f"{name}-{turn}", 2 * most)
         for gone in (old, f"{name}-{turn}l", f"{name}-large-{turn}", f"{name}-small-{turn}"):
             scratch.drop(gone)
         old, now = f"{name}-{turn}", mark(e)
