@@ -28,6 +28,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES, SCAN_ROWS = 4 << 20, 128
 
 
+#: Options of a write to a local file system.  Without native libraries Hadoop's usual one starts three chmod processes for
+#: every file (for its task's folder, itself and its checksum file), and until such a process runs its program it has the
+#: JVM's memory as its own.  This one writes no checksum files, so it starts two; Parquet's pages have checksums of their own.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's limits for Arrow batches to ``BATCH_BYTES``, and for rows of a scan's batch to ``SCAN_ROWS``."""
     for key, most, unit in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b"), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS, "")):
@@ -84,6 +90,8 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = LOCAL_SCRATCH
         self.root = f"{root.rstrip('/')}/loomlint/{what}-{uuid.uuid4().hex}"
+        own = spark._jsparkSession.sessionState().newHadoopConf().get("fs.file.impl")
+        self.options = {} if own else PLAIN_FILES  # a class that the session names for local files stays
 
     def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """``df``, written and read again; if it has ``rows`` slim rows at most, by as many tasks as these are worth."""
@@ -94,7 +102,7 @@ class Scratch:
         before = conf.get(key, "false")
         conf.set(key, "true")  # nothing reads the shuffle files of a finished write
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**self.options).parquet(path)
         finally:
             conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)

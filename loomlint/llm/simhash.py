@@ -182,13 +182,14 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 def _rooted(docs: DataFrame, scratch: Scratch, shingle: int, similarity: float | None, words: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp; with a similarity h1, h2 too), and for each fp its least doc_id and its component's root."""
     rows = scratch.keep(fingerprints(docs, shingle) if similarity is None else sketches(docs, shingle, words), "fingerprints")
-    classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    n = rows.count()  # no slim table of classes or rows below has more
+    classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", n)
     found = links(classes.select("fp"), scratch)
     if similarity is not None:
         found = found.unionByName(resemblance.links(docs, rows, scratch, words, similarity))
-    roots = components(scratch.keep(found, "links"), scratch)
+    roots = components(found, scratch)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return rows, scratch.keep(rooted, "rooted")
+    return rows, scratch.keep(rooted, "rooted", n)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None = None, words: int = 5) -> DataFrame:
@@ -212,12 +213,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3, similarity: float = 0.8, word
     """
     scratch = Scratch(docs.sparkSession, "kept")
     rows, rooted = _rooted(docs, scratch, shingle, similarity, words)
+    n = rows.count()
     key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h1", "h2")
     found = rows.select("fp", key.alias("row")).join(rooted.select("fp", "root"), "fp")
-    groups = scratch.keep(found.groupBy("root").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
+    groups = scratch.keep(found.groupBy("root").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups", n)
     # only rows of groups are looked at again, and the rows that go are fewer than those that stay
     told = found.join(groups, "root").groupBy("row").agg(F.first(F.col("row") == F.col("stays")).alias("own"), F.count(F.lit(1)).alias("n"))
-    told = scratch.keep(told.where("not own or n > 1").select("row.doc_id", "row.h1", "row.h2", "own"), "told")
+    told = scratch.keep(told.where("not own or n > 1").select("row.doc_id", "row.h1", "row.h2", "own"), "told", n)
     n_gone, n_again = told.agg(F.count_if(~F.col("own")), F.count_if(F.col("own"))).first()
     text = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), *resemblance.text_keys())  # a struct, so that no name can clash
     same = lambda t: F.col("_id").eqNullSafe(t["doc_id"]) & (F.col("_h1") == t["h1"]) & (F.col("_h2") == t["h2"])

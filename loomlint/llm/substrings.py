@@ -74,7 +74,7 @@ def documents(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     """doc, id, h, text (binary) of every different document, and whether ``doc`` is not always its doc_id."""
     key = F.xxhash64("text")
     ids = scratch.keep(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), key.alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")), "ids")
-    several = scratch.keep(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(f"id is not null and (n > 1 or id >= {UNTOLD})").select("id"), "several")
+    several = scratch.keep(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(f"id is not null and (n > 1 or id >= {UNTOLD})").select("id"), "several", ids.count())
     again = ids.where("n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
     n_again, n_none = ids.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("id").isNull())).first()
     n_several = several.count()

@@ -1,4 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -190,3 +195,29 @@ def test_empty_tables_in_every_stage(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.limit(0), at)
         assert out.count() == 0 and (name == NAMES[-1] or out.columns == docs.columns)
+
+
+KEEP = """
+import sys
+from pyspark.sql import SparkSession
+from loomlint.llm._common import Scratch
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+for what in ("plain", "named"):
+    kept = Scratch(spark, what).keep(spark.range(1000).repartition(20), "kept")
+    assert sorted(r.id for r in kept.collect()) == list(range(1000)) and len(kept.inputFiles()) == 20
+    spark.conf.set("fs.file.impl", "org.apache.hadoop.fs.LocalFileSystem")
+"""
+
+
+def test_scratch_tables_start_no_process_for_checksum_files(tmp_path):
+    """A process that a JVM starts has the JVM's memory as its own for a moment; a session's own class for local files is used."""
+    log, own = tmp_path / "log", tmp_path / "bin"
+    own.mkdir()
+    (own / "chmod").write_text(f'#!/bin/sh\necho "$@" >> {log}\nexec {shutil.which("chmod")} "$@"\n')
+    (own / "chmod").chmod(0o755)
+    env = os.environ | {"PATH": f"{own}:{os.environ['PATH']}"}
+    subprocess.run([sys.executable, "-c", KEEP, str(tmp_path / "shared")], env=env, check=True, timeout=200, cwd=Path(__file__).resolve().parents[2])
+    started, sums = log.read_text().splitlines() if log.exists() else [], list((tmp_path / "shared").rglob("*.crc"))
+    plain, named = (sum(f"/{what}-" in x for x in started) for what in ("plain", "named"))
+    assert plain <= named - 20 or not named  # none at all where Hadoop has its native libraries
+    assert {x.parts[-3].split("-")[0] for x in sums} == {"named"}
